@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenq.llm import packing, tokenizing
+from lumenq.llm import packing, quality_rules, tokenizing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,17 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.bpe_round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the quality rules for all documents."""
+    return quality_rules.apply_rules(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op7_bpe": op7_bpe,
+    "op8_quality_rules": op8_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_quality_rules": quality_rules.ORACLE,
+}
