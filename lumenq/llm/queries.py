@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenq.llm import packing, quality_rules, simhash, tokenizing
+from lumenq.llm import packing, quality_rules, repeats, simhash, tokenizing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without the 50-byte strings of earlier ones."""
+    return repeats.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again."""
     return tokenizing.bpe_round_trip(_table(spark, sf_dir, "documents"))
@@ -36,6 +41,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
+    "op6_repeats": op6_repeats,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
 }
