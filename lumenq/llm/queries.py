@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenq.llm import packing, quality_rules, repeats, simhash, tokenizing
+from lumenq.llm import packing, quality_rules, repeats, resharding, simhash, tokenizing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents laid out in 24 shards of nearly equal size, as they are stored."""
+    stored, _, _ = resharding.reshard(_table(spark, sf_dir, "documents"))
+    return resharding.read_back(stored)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most 1024 ids."""
     return packing.pack(_table(spark, sf_dir, "documents"))
@@ -39,6 +45,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_resharding": op3_resharding,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op6_repeats": op6_repeats,
