@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenq.llm import packing, quality_rules, repeats, resharding, simhash, tokenizing
+from lumenq.llm import media, packing, quality_rules, repeats, resharding, simhash, tokenizing, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as payloads in tar shards and read back."""
+    return media.media_columns(_table(spark, sf_dir, "documents"))
+
+
 def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents laid out in 24 shards of nearly equal size, as they are stored."""
     stored, _, _ = resharding.reshard(_table(spark, sf_dir, "documents"))
@@ -44,13 +49,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict for the URLs of all pages."""
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_media": op2_media,
     "op3_resharding": op3_resharding,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op6_repeats": op6_repeats,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op9_url_filter": op9_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
