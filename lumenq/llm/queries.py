@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenq.llm import media, packing, quality_rules, repeats, resharding, simhash, tokenizing, url_filter
+from lumenq.llm import media, packing, quality, quality_rules, repeats, resharding, simhash, tokenizing, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality of all documents from their own evidence and their site's."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as payloads in tar shards and read back."""
     return media.media_columns(_table(spark, sf_dir, "documents"))
@@ -55,6 +60,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_media": op2_media,
     "op3_resharding": op3_resharding,
     "op4_packing": op4_packing,
