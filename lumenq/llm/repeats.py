@@ -32,6 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenq.llm.common import chunks_of, ragged_gather, text_of, utf8_rows
 
@@ -167,7 +168,7 @@ class Chunk:
         self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         order = np.lexsort((self.ids, ~known))
         table = table.take(pa.array(order))
-        self.ids, self.known = self.ids[order], known[order]
+        self.ids, self.known, self.table = self.ids[order], known[order], table
         self.raw, self.offsets = utf8_rows(table.column(2))
         self.place, self.hash, self.first, self.last = scan(self.raw, self.offsets)
         self.text = np.searchsorted(self.offsets, self.place, side="right") - 1
@@ -375,13 +376,17 @@ def _by_bucket(table: pa.Table) -> dict[int, bytes]:
     return dict(zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist()))
 
 
-def _spans(df: DataFrame, id_column: str, text_column: str, finish, schema: T.StructType) -> DataFrame:
-    """The three steps; finish(chunk, first bytes and ends of removed runs) makes the result rows of a chunk."""
+def _spans(df: DataFrame, id_column: str, text_column: str, finish, schema: T.StructType, more: tuple = ()) -> DataFrame:
+    """The three steps; finish(chunk, first bytes and ends of removed runs) makes the result columns of a chunk.
+
+    `more` are columns that go along with the texts, as columns 3 and on of the chunk's table.
+    """
     chunks, buckets = _sizes(df.select(id_column, text_column))
     docs = df.select(
         F.pmod(F.xxhash64(F.col(id_column)), F.lit(chunks)).alias("chunk"),
         F.col(id_column).cast("bigint").alias("_id"),
         text_of(df, text_column).alias("_text"),
+        *more,
     )
     grouped = docs.groupBy("chunk")
 
@@ -401,22 +406,17 @@ def _spans(df: DataFrame, id_column: str, text_column: str, finish, schema: T.St
     found = _answered(grouped.cogroup(hashes.groupBy("chunk")).applyInArrow(second, MESSAGE), answer_entries)
     both = hashes.select("chunk", F.lit(0).alias("step"), "bucket", "payload").unionAll(found.select("chunk", F.lit(1), "bucket", "payload"))
 
+    arrow = to_arrow_schema(schema)
+
     def third(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return schema_table([])
+            return arrow.empty_table()
         chunk = Chunk(table, buckets)
         step = replies.column("step").to_numpy()
         index = repeated_triggers(chunk, _by_bucket(replies.filter(pa.array(step == 0))))
         marks = string_marks(chunk, index, _by_bucket(replies.filter(pa.array(step == 1))))
-        return schema_table(finish(chunk, *removed_runs(marks, chunk.offsets)))
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
-
-    def schema_table(rows: list[tuple]) -> pa.Table:
-        columns = list(zip(*rows)) if rows else [[]] * len(arrow)
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], names=arrow.names)
+        columns = finish(chunk, *removed_runs(marks, chunk.offsets))
+        return pa.table([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, arrow)], names=arrow.names)
 
     return grouped.cogroup(both.groupBy("chunk")).applyInArrow(third, schema)
 
@@ -440,22 +440,26 @@ def repeated_spans(df: DataFrame, id_column: str = "doc_id", text_column: str =
     """(id_column, n_bytes, n_removed, n_spans, kept_sha256) for each row."""
     schema = T.StructType([T.StructField(id_column, T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType())])
 
-    def finish(chunk: Chunk, a: np.ndarray, b: np.ndarray) -> list[tuple]:
-        return [(i, n, n - len(kept), len(runs), hashlib.sha256(kept).hexdigest()) for i, n, runs, kept in _kept(chunk, a, b)]
+    def finish(chunk: Chunk, a: np.ndarray, b: np.ndarray) -> list:
+        rows = [(i, n, n - len(kept), len(runs), hashlib.sha256(kept).hexdigest()) for i, n, runs, kept in _kept(chunk, a, b)]
+        return list(zip(*rows))
 
     return _spans(df, id_column, text_column, finish, schema)
 
 
 def without_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """All rows and columns, the repeated strings cut out of the texts.
+    """All rows and columns, the repeated strings cut out of the texts; a null text stays null.
 
-    A cut may fall inside a character; what is left of it is dropped. Rows are told apart by id and text.
+    A cut may fall inside a character; what is left of it is dropped.
     """
-    schema = T.StructType([T.StructField(id_column, T.LongType()), T.StructField("_key", T.LongType()), T.StructField("_kept", T.StringType())])
+    others = [c for c in df.columns if c != text_column]
+    schema = T.StructType([T.StructField(f"c{k}", df.schema[c].dataType) for k, c in enumerate(others)] + [T.StructField("_kept", T.StringType())])
 
-    def finish(chunk: Chunk, a: np.ndarray, b: np.ndarray) -> list[tuple]:
-        return [(i, None, kept.decode("utf-8", "ignore")) for i, n, runs, kept in _kept(chunk, a, b) if runs]
+    def finish(chunk: Chunk, a: np.ndarray, b: np.ndarray) -> list:
+        null = chunk.table.column("_null").to_pylist()
+        texts = [None if gone else kept.decode("utf-8", "ignore") for gone, (_, _, _, kept) in zip(null, _kept(chunk, a, b))]
+        return [*[chunk.table.column(f"c{k}") for k in range(len(others))], texts]
 
-    changed = _spans(df, id_column, text_column, finish, schema).select(F.col(id_column).alias("_changed"), "_kept").dropDuplicates(["_changed"])
-    joined = df.join(changed, df[id_column] == F.col("_changed"), "left")
-    return joined.select(*[F.coalesce(F.col("_kept"), df[c]).alias(c) if c == text_column else df[c] for c in df.columns])
+    more = (df[text_column].isNull().alias("_null"), *[df[c].alias(f"c{k}") for k, c in enumerate(others)])
+    kept = _spans(df, id_column, text_column, finish, schema, more)
+    return kept.select(*[F.col("_kept").alias(c) if c == text_column else F.col(f"c{others.index(c)}").alias(c) for c in df.columns])

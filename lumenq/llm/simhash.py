@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lumenq.llm.common import cut, text_of, utf8_rows
 from lumenq.llm.components import connected_components, local_components
@@ -80,7 +81,7 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def trie_links(fp: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(fp: np.ndarray, bucket: np.ndarray, radius: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of fingerprints (uint64, ascending within each bucket; buckets one behind the other) within radius."""
     n = len(fp)
     edge = np.nonzero(bucket[1:] != bucket[:-1])[0] + 1
@@ -90,7 +91,7 @@ def trie_links(fp: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndar
     lo, hi = lo[keep], hi[keep]
     pair = (lo, hi, lo, hi, np.zeros(len(lo), np.int64))
     found_a, found_b = [], []
-    for bit in range(BITS - 1, -1, -1):
+    for bit in range(bits - 1, -1, -1):
         if not len(pair[0]):
             break
         a0, a1, b0, b1, errors = pair
@@ -150,44 +151,77 @@ def _key(fp: Column, tag: Column, bits: list[int]) -> Column:
     return F.struct(tag.alias("t"), fp.bitwiseAND(F.lit(mask)).alias("k"))
 
 
-def bucket_rows(nodes: DataFrame, radius: int, most: int = BUCKET_ROWS) -> DataFrame:
-    """(key, fp, node): each fingerprint once for each block of bits; crowded buckets dealt again by the bits left."""
-    every = list(range(BITS - 1, -1, -1))
-    parts = blocks_of(every, radius + 1)
+def bucket_rows(nodes: DataFrame, radius: int, most: int = BUCKET_ROWS, bits: int = BITS) -> DataFrame:
+    """Each row of nodes (with a column fp) once for each block of bits, under a key (t, k).
 
-    def deal(rows: DataFrame, tags: list[tuple[int, list[int]]]) -> DataFrame:
-        keys = F.array(*[_key(F.col("fp"), F.lit(tag), bits) for tag, bits in tags])
-        return rows.select(F.explode(keys).alias("key"), "fp", "node")
+    Buckets that are crowded are dealt again by the blocks of the bits that their key leaves free. A column `table`, if
+    there is one, keeps the fingerprints of different tables apart.
+    """
+    every = list(range(bits - 1, -1, -1))
+    own = nodes.columns
+    apart = [c for c in own if c == "table"]
 
-    fixed = dict(enumerate(parts))
-    rows = deal(nodes, list(fixed.items()))
+    def deal(rows: DataFrame, choice: Column) -> DataFrame:
+        return rows.select(F.explode(choice).alias("key"), *own).select("key.t", "key.k", *own)
+
+    fixed = dict(enumerate(blocks_of(every, radius + 1)))
+    rows = deal(nodes, F.array(*[_key(F.col("fp"), F.lit(t), b) for t, b in fixed.items()]))
     done = None
     for _ in range(2):
-        crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key")
-        calm = rows.join(crowded, "key", "left_anti").select("key", "fp", "node")
+        keys = [*apart, "t", "k"]
+        crowded = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*keys)
+        calm = rows.join(crowded, keys, "left_anti").select("t", "k", *own)
         done = calm if done is None else done.unionAll(calm)
-        hot = rows.join(crowded, "key", "left_semi").select("key", "fp", "node")
+        hot = rows.join(crowded, keys, "left_semi").select("t", "k", *own)
         finer = {}
-        for tag, bits in fixed.items():
-            free = [b for b in every if b not in set(bits)]
-            sub = {(tag + 1) * 16 + k: bits + more for k, more in enumerate(blocks_of(free, radius + 1))}
-            finer.update(sub)
         choice = F.lit(None).cast("array<struct<t:int,k:bigint>>")
-        for tag in fixed:
-            own = [(t, b) for t, b in finer.items() if t // 16 == tag + 1]
-            choice = F.when(F.col("key.t") == tag, F.array(*[_key(F.col("fp"), F.lit(t), b) for t, b in own])).otherwise(choice)
-        rows = hot.select(F.explode(choice).alias("key"), "fp", "node")
+        for tag, taken in fixed.items():
+            free = [b for b in every if b not in set(taken)]
+            sub = {(tag + 1) * 16 + k: taken + more for k, more in enumerate(blocks_of(free, radius + 1))}
+            finer.update(sub)
+            choice = F.when(F.col("t") == tag, F.array(*[_key(F.col("fp"), F.lit(t), b) for t, b in sub.items()])).otherwise(choice)
+        rows = deal(hot, choice)
         fixed = finer
     return done.unionAll(rows)
 
 
+def whole_buckets(rows: DataFrame, keys: list[str], order: list, columns: list[str], body, schema: str) -> DataFrame:
+    """body(arrays of `columns`, bucket numbers) for some whole buckets at a time, rows in order; one task may have many."""
+    dealt = rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *order)
+    width = len(keys)
+
+    def work(held):
+        arrays = [np.concatenate(x) for x in zip(*held)]
+        change = np.zeros(len(arrays[0]), bool)
+        for key in arrays[:width]:
+            change[1:] |= key[1:] != key[:-1]
+        return arrays, change
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            n += batch.num_rows
+            if n < BATCH_ROWS:
+                continue
+            arrays, change = work(held)
+            last = int(np.nonzero(change)[0][-1]) if change.any() else 0  # its bucket may go on in the next batch
+            if last:
+                yield body([x[:last] for x in arrays[width:]], np.cumsum(change[:last]))
+            held = [[x[last:] for x in arrays]]
+            n = len(arrays[0]) - last
+        if n:
+            arrays, change = work(held)
+            yield body(arrays[width:], np.cumsum(change))
+
+    return dealt.mapInArrow(run, schema)
+
+
 def trie_join(nodes: DataFrame, radius: int) -> DataFrame:
     """(u, v): links between nodes (node long, fp long, all fps distinct) that keep every group within radius together."""
-    rows = bucket_rows(nodes, radius).select("key.t", "key.k", "fp", "node")
-    dealt = rows.repartition("t", "k").sortWithinPartitions("t", "k", (F.col("fp") < 0), "fp")
 
-    def links(t, k, fp, node):
-        bucket = np.cumsum(np.concatenate(([0], (t[1:] != t[:-1]) | (k[1:] != k[:-1]))))
+    def body(arrays, bucket):
+        fp, node = arrays
         a, b = trie_links(fp.view(np.uint64), bucket, radius)
         label = local_components(len(fp), a, b)
         # the smallest node of each group, then a link from every other one to it
@@ -197,26 +231,8 @@ def trie_join(nodes: DataFrame, radius: int) -> DataFrame:
         far = node != least
         return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(least[far])], names=["u", "v"])
 
-    def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            n += len(held[-1][0])
-            if n < BATCH_ROWS:
-                continue
-            t, k, fp, node = (np.concatenate(x) for x in zip(*held))
-            # what is after the last change of bucket waits for the rest of that bucket
-            change = np.nonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1]))[0]
-            if not len(change):
-                held = [[t, k, fp, node]]
-                continue
-            c = int(change[-1]) + 1
-            yield links(t[:c], k[:c], fp[:c], node[:c])
-            held, n = [[t[c:], k[c:], fp[c:], node[c:]]], len(t) - c
-        if held and n:
-            yield links(*(np.concatenate(x) for x in zip(*held)))
-
-    return dealt.mapInArrow(run, "u long, v long")
+    rows = bucket_rows(nodes.select("fp", "node"), radius)
+    return whole_buckets(rows, ["t", "k"], [(F.col("fp") < 0), "fp"], ["fp", "node"], body, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
@@ -226,3 +242,165 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     groups = connected_components(trie_join(nodes.where("node is not null"), radius))
     of_fp = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(of_fp, "fp").select(id_column, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- near copies by similarity -----------------------------------------------------------------------------------
+
+#: SimHash words of 64 bits; each gives two tables of TABLE_BITS bits.
+WORDS = 4
+TABLE_BITS = 24
+TABLES = 2 * WORDS
+#: Candidates differ in at most this share of all bits; at a Jaccard similarity of 0.8 the mean is 0.15.
+CANDIDATE_SHARE = 0.23
+#: Distinct shingles that a text is compared by: all, or the smallest hashes of a text that has more.
+SKETCH = 1024
+LEAF = 4096
+MIX = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+
+
+def wide_fingerprint(digests: bytes) -> list[int]:
+    """WORDS fingerprints of the same shingles, each from the hashes mixed in another way."""
+    if not digests:
+        return [0] * WORDS
+    h = np.frombuffer(digests, ">u8").astype(np.uint64)
+    out = []
+    for m in MIX:
+        x = h * np.uint64(m)
+        x ^= x >> np.uint64(32)
+        out.append(majority(x.astype(">u8").tobytes()))
+    return out
+
+
+def sketch(digests: bytes) -> bytes:
+    """The SKETCH smallest distinct shingle hashes (32 bits each), ascending."""
+    h = np.unique(np.frombuffer(digests, ">u4")[1::2].astype(np.uint32)) if digests else np.empty(0, np.uint32)
+    return h[:SKETCH].tobytes()
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sketches: exact for whole sets, else estimated from the smallest hashes of the union."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = np.sort(np.concatenate((x, y)))
+    twice = both[1:][both[1:] == both[:-1]]
+    union = len(both) - len(twice)
+    if max(len(x), len(y)) < SKETCH:
+        return len(twice) / union
+    border = np.unique(both)[min(SKETCH, union) - 1]
+    return float(np.count_nonzero(twice <= border)) / min(SKETCH, union)
+
+
+def _distance(wide: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return popcount(wide[a] ^ wide[b]).sum(1, dtype=np.int64)
+
+
+def leaf_links(wide: np.ndarray, start: np.ndarray, end: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """In each run [start, end) every row with its nearest earlier and nearest later row, if within `most` bits.
+
+    That keeps groups together without all their pairs. Longer runs are walked through in blocks that overlap by half.
+    """
+    found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+    def add(a, b):
+        near = _distance(wide, a, b) <= most
+        found_a.append(a[near])
+        found_b.append(b[near])
+
+    two = np.nonzero(end - start == 2)[0]
+    add(start[two], start[two] + 1)
+    for s, e in zip(start[end - start > 2].tolist(), end[end - start > 2].tolist()):
+        for a in range(s, max(s + 1, e - LEAF // 2), LEAF // 2):
+            b = min(e, a + LEAF)
+            rows = np.arange(a, b)
+            for c in range(a, b, 512):
+                part = np.arange(c, min(b, c + 512))
+                d = popcount(wide[part][:, None] ^ wide[a:b][None]).sum(2, dtype=np.int64)
+                for side in (rows[None] < part[:, None], rows[None] > part[:, None]):
+                    own = np.where(side, d, 1 << 30)
+                    j = own.argmin(1)
+                    ok = own[np.arange(len(part)), j] <= most
+                    found_a.append(part[ok])
+                    found_b.append(rows[j[ok]])
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def candidate_links(value: np.ndarray, node: np.ndarray, wide: np.ndarray, bucket: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes whose table values are within `radius` bits and whose wide fingerprints are within `most`."""
+    new = np.concatenate(([True], (value[1:] != value[:-1]) | (bucket[1:] != bucket[:-1])))
+    start = np.nonzero(new)[0]
+    end = np.append(start[1:], len(value))
+    a, b = leaf_links(wide, start, end, most)
+    g, h = trie_links(value[start].astype(np.uint64), bucket[start], radius, TABLE_BITS)
+    few = np.minimum(end - start, 64)  # of large groups, which hold together by themselves
+    count = few[g] * few[h]
+    which = np.repeat(np.arange(len(g)), count)
+    inner = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    i, j = start[g][which] + inner // few[h][which], start[h][which] + inner % few[h][which]
+    near = _distance(wide, i, j) <= most
+    return node[np.concatenate((a, i[near]))], node[np.concatenate((b, j[near]))]
+
+
+def _sketched(df: DataFrame, id_column: str, text_column: str, width: int, body, schema: T.StructType) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            raw, offsets = utf8_rows(batch.column(1))
+            raw, edges = raw.tobytes(), offsets.tolist()
+            rows = [body(raw[a:b], shingle_digests(raw[a:b], width)) for a, b in zip(edges, edges[1:])]
+            columns = list(zip(*rows)) if rows else [[]] * (len(schema) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema.fields[1:])]], names=schema.names)
+
+    return df.select(F.col(id_column).cast("bigint").alias("id"), text_of(df, text_column).alias("_text")).mapInArrow(run, schema)
+
+
+def near_copy_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
+    """(id, group): the smallest id of the group, for each row whose text has a copy or near copy under a smaller id.
+
+    Near copies share `least` of their distinct shingles. Candidates come from eight tables of 24 SimHash bits, each
+    joined by its trie within `radius` bits: a pair of similarity 0.8 is in one of them at over nine times in ten, one
+    of 0.9 nearly always. Candidates are then compared by their shingles.
+    """
+    fields = [T.StructField("id", T.LongType()), T.StructField("same", T.LongType()), *[T.StructField(f"w{k}", T.LongType()) for k in range(WORDS)]]
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    words = [f"w{k}" for k in range(WORDS)]
+
+    def first(text: bytes, digests: bytes) -> tuple:
+        return signed(xxhash.xxh3_64_intdigest(b" ".join(text.lower().split()))), *wide_fingerprint(digests)
+
+    docs = cut(_sketched(df, id_column, text_column, width, first, T.StructType(fields)).where("id IS NOT NULL"))
+    nodes = cut(docs.groupBy("same", *words).agg(F.min("id").alias("node")))
+    tables = F.array(*[F.struct(F.lit(t).alias("table"), F.shiftrightunsigned(F.col(f"w{t // 2}"), 40 if t % 2 else 8).bitwiseAND(F.lit((1 << TABLE_BITS) - 1)).alias("fp")) for t in range(TABLES)])
+    rows = nodes.select(F.explode(tables).alias("x"), "node", *words).select("x.table", "x.fp", "node", *words)
+    most = int(CANDIDATE_SHARE * 64 * WORDS)
+
+    def body(arrays, bucket):
+        value, node, *wide = arrays
+        u, v = candidate_links(value, node, np.stack(wide, axis=1).view(np.uint64), bucket, radius, most)
+        high, low = np.maximum(u, v), np.minimum(u, v)
+        return pa.RecordBatch.from_arrays([pa.array(high), pa.array(low)], names=["u", "v"])
+
+    dealt = bucket_rows(rows, radius, bits=TABLE_BITS)
+    links = cut(whole_buckets(dealt, ["table", "t", "k"], ["fp", "node"], ["fp", "node", *words], body, "u long, v long").distinct())
+    pieces = _sketched(df, id_column, text_column, width, lambda text, digests: (sketch(digests),), T.StructType([fields[0], T.StructField("sketch", T.BinaryType())]))
+    pieces = pieces.join(links.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    one = links.join(pieces.select(F.col("id").alias("u"), F.col("sketch").alias("a")), "u")
+    two = one.join(pieces.select(F.col("id").alias("v"), F.col("sketch").alias("b")), "v")
+
+    def compare(batches):
+        for batch in batches:
+            u, v, a, b = batch.columns
+            keep = pa.array([similarity(x, y) >= least for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(keep)
+
+    groups = connected_components(two.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"))
+    of_node = nodes.join(groups, "node", "left").select("same", *words, F.coalesce("component", "node").alias("group"))
+    return docs.join(of_node, ["same", *words]).where("id <> group").select("id", "group")
+
+
+def drop_near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of df without those that have a copy or near copy under a smaller id.
+
+    Rows of one id stay or go together. Rows without id are kept.
+    """
+    copies = near_copy_groups(df, id_column, text_column, width, least).select(F.col("id").alias("_copy"))
+    return df.join(copies, df[id_column].cast("bigint") == F.col("_copy"), "left_anti")
