@@ -134,7 +134,7 @@ class TypedField(Field):
         if isinstance(value, bool):
             fits = isinstance(self.type, T.BooleanType)
         elif isinstance(value, (int, float)):
-            fits = isinstance(self.type, T.NumericType)
+            fits = isinstance(self.type, T.NumericType) and not (isinstance(value, int) and not -(2**63) <= value < 2**63)
         elif isinstance(value, str):
             if isinstance(self.type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
                 return self.column.cast("string").eqNullSafe(F.lit(value))

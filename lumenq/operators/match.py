@@ -28,6 +28,11 @@ def _is_number(value: Any) -> bool:
     return isinstance(value, (int, float)) and not isinstance(value, bool)
 
 
+def within(value: Any) -> Any:
+    """The number, as a float if 64 bits can't hold it."""
+    return float(value) if isinstance(value, int) and not -(2**63) <= value < 2**63 else value
+
+
 class Compiler:
     """lexicographic: order comparisons with a string compare texts instead of following the numeric rule."""
 
@@ -45,6 +50,7 @@ class Compiler:
                 return F.coalesce({">": s > value, ">=": s >= value, "<": s < value, "<=": s <= value}[op], false())
             warnings.warn(f"`{op} {value!r}` compares with no number; it does not order texts", stacklevel=4)
             return {">": n.isNotNull(), ">=": F.lit(True), "<": false(), "<=": n.isNull()}[op]
+        value = within(value)
         if op in (">", ">="):
             test = n > value if op == ">" else n >= value
             return test if plain else F.coalesce(test, false())
@@ -64,7 +70,7 @@ class Compiler:
         if len(texts) > 1:
             out.append(F.coalesce(f.string().isin(texts), false()))
             rest = [v for v in rest if not isinstance(v, str)]
-        numbers = [v for v in rest if _is_number(v)]
+        numbers = [within(v) for v in rest if _is_number(v)]
         if len(numbers) > 1 and isinstance(f, TypedField):
             out.append(F.coalesce(f.number().isin(numbers), false()))
             rest = [v for v in rest if not _is_number(v)]
