@@ -332,13 +332,29 @@ def candidate_links(value: np.ndarray, node: np.ndarray, wide: np.ndarray, bucke
     end = np.append(start[1:], len(value))
     a, b = leaf_links(wide, start, end, most)
     g, h = trie_links(value[start].astype(np.uint64), bucket[start], radius, TABLE_BITS)
-    few = np.minimum(end - start, 64)  # of large groups, which hold together by themselves
+    few = np.minimum(end - start, 16)  # of large groups, which hold together by themselves
     count = few[g] * few[h]
     which = np.repeat(np.arange(len(g)), count)
     inner = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
     i, j = start[g][which] + inner // few[h][which], start[h][which] + inner % few[h][which]
-    near = _distance(wide, i, j) <= most
-    return node[np.concatenate((a, i[near]))], node[np.concatenate((b, j[near]))]
+    a, b = np.concatenate((a, i)), np.concatenate((b, j))
+    distance = _distance(wide, a, b)
+    near = distance <= most
+    return nearest_links(node[a[near]], node[b[near]], distance[near])
+
+
+def nearest_links(u: np.ndarray, v: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all pairs those that join a node with its nearest smaller or its nearest larger partner.
+
+    A group of many near copies stays together by them, and has no more of them than twice its nodes.
+    """
+    one, other, far = np.concatenate((u, v)), np.concatenate((v, u)), np.concatenate((distance, distance))
+    larger = other > one
+    order = np.lexsort((other, far, larger, one))
+    one, other, larger = one[order], other[order], larger[order]
+    first = np.ones(len(one), bool)
+    first[1:] = (one[1:] != one[:-1]) | (larger[1:] != larger[:-1])
+    return one[first], other[first]
 
 
 def _sketched(df: DataFrame, id_column: str, text_column: str, width: int, body, schema: T.StructType) -> DataFrame:
