@@ -11,26 +11,28 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenq.functions.fields import VariantResolver, _quoted, variant_kind
+from lumenq.functions.fields import VariantResolver, _quoted
 from lumenq.functions.paths import Descend, Filter, Index, Key, Keys, Segment, Slice, Wildcard, json_path
 from lumenq.operators.match import Compiler
 
 MAX_DEPTH = 512
 
 
+# A segment's expression refers to its node once: segments are nested into each other, so that more references would
+# multiply. Casts of a variant to a kind that it is not are NULL.
+
+
 def _list(v: Column) -> Column:
-    return F.when(variant_kind(v) == "array", F.try_variant_get(v, "$", "array<variant>"))
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def _map(v: Column) -> Column:
-    return F.when(variant_kind(v) == "object", F.try_variant_get(v, "$", "map<string,variant>"))
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
 def _children(df: DataFrame) -> DataFrame:
-    """Elements or values, objects by key."""
-    m = _map(F.col("v"))
-    values = F.transform(F.array_sort(F.map_keys(m)), lambda k: m[k])
-    found = df.select(*[c for c in df.columns if c != "v"], F.posexplode(F.coalesce(_list(F.col("v")), values)).alias("at", "v"))
+    """Elements, or values by key (the order in which a variant keeps them)."""
+    found = df.select(*[c for c in df.columns if c != "v"], F.posexplode(F.coalesce(_list(F.col("v")), F.map_values(_map(F.col("v"))))).alias("at", "v"))
     return _placed(found, F.col("at").cast("bigint"))
 
 
@@ -77,7 +79,7 @@ def _descend(df: DataFrame, segment: Descend) -> DataFrame:
         # a node's own values come before those of its children: rank -1 puts them first
         own = nodes.withColumn("ord", F.concat("ord", F.array(F.lit(-1).cast("bigint"))))
         return _children(own)
-    hit = F.when(variant_kind(F.col("v")) == "object", F.try_variant_get(F.col("v"), "$" + _quoted(segment.name), "variant"))
+    hit = F.try_variant_get(F.col("v"), "$" + _quoted(segment.name), "variant")
     found = nodes.withColumn("v", hit).where(F.col("v").isNotNull())
     return _placed(found.withColumn("at", F.lit(-1).cast("bigint")), F.col("at"))
 
@@ -85,20 +87,18 @@ def _descend(df: DataFrame, segment: Descend) -> DataFrame:
 def step(df: DataFrame, segment: Segment) -> DataFrame:
     v = F.col("v")
     if isinstance(segment, Key):
-        found = F.when(variant_kind(v) == "object", F.try_variant_get(v, "$" + _quoted(segment.name), "variant"))
-        return df.withColumn("v", found).where(F.col("v").isNotNull())
+        return df.withColumn("v", F.try_variant_get(v, "$" + _quoted(segment.name), "variant"))
     if isinstance(segment, Index):
-        items = _list(v)
-        at = F.lit(segment.at) if segment.at >= 0 else F.size(items) + segment.at
-        return df.withColumn("v", F.when(at >= 0, F.get(items, at))).where(F.col("v").isNotNull())
+        at = segment.at
+        return df.withColumn("v", F.try_variant_get(v, f"$[{at}]", "variant") if at >= 0 else F.try_element_at(_list(v), F.lit(at)))
     if isinstance(segment, Wildcard):
         return _children(df)
     if isinstance(segment, Slice):
-        found = df.select(*[c for c in df.columns if c != "v"], F.posexplode(_slice(segment, _list(v))).alias("at", "v"))
+        found = df.select(*[c for c in df.columns if c != "v"], F.posexplode(F.transform(F.array(_list(v)), lambda items: _slice(segment, items))[0]).alias("at", "v"))
         return _placed(found, F.col("at").cast("bigint"))
     if isinstance(segment, Keys):
         picked = F.map_filter(_map(v), lambda k, _: k.isin(*segment.names))
-        return df.withColumn("v", F.to_variant_object(picked)).where(F.col("v").isNotNull())
+        return df.withColumn("v", F.to_variant_object(picked))
     if isinstance(segment, Filter):
         path, op, value = segment.condition
         test = Compiler(VariantResolver("v")).operator(VariantResolver("v")(path), op, value)
@@ -114,4 +114,4 @@ def nodes(df: DataFrame, path: str | list[Segment], value: str = "v") -> DataFra
         out = out.withColumn("ord", F.array().cast("array<bigint>"))
     for segment in segments:
         out = step(out, segment)
-    return out
+    return out.where(F.col("v").isNotNull())

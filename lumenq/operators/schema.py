@@ -44,9 +44,8 @@ class Checker:
     def __init__(self, extended: bool = False):
         self.extended = extended
 
-    def errors(self, f: Field, schema: Any, path: Column, depth: int = 0) -> Column:
-        if depth > MAX_DEPTH:
-            raise SecurityError(f"a schema may be {MAX_DEPTH} levels deep")
+    def errors(self, f: Field, schema: Any, path: Column | str, depth: int = 0) -> Column:
+        """path: text where it is known, a column below the items of a list."""
         if not isinstance(schema, dict):
             return _none()
         parts = [*self._plain(f, schema, path), *self._nested(f, schema, path, depth)]
@@ -64,10 +63,11 @@ class Checker:
         return out
 
     @staticmethod
-    def _error(path: Column, text: Column | str) -> Column:
-        return F.struct(path.alias("path"), (F.lit(text) if isinstance(text, str) else text).alias("error"))
+    def _error(path: Column | str, text: Column | str) -> Column:
+        as_column = lambda x: F.lit(x) if isinstance(x, str) else x
+        return F.struct(as_column(path).alias("path"), as_column(text).alias("error"))
 
-    def _if(self, wrong: Column, path: Column, text: Column | str) -> Column:
+    def _if(self, wrong: Column, path: Column | str, text: Column | str) -> Column:
         return F.when(wrong, F.array(self._error(path, text))).otherwise(_none())
 
     @staticmethod
@@ -93,7 +93,7 @@ class Checker:
             return (kind == "integer") | ((kind == "float") & F.coalesce(n == F.floor(n), F.lit(False)))
         return kind == wanted if wanted in ("string", "boolean", "array", "object", "null") else F.lit(True)
 
-    def _plain(self, f: Field, schema: dict, path: Column) -> list[Column]:
+    def _plain(self, f: Field, schema: dict, path: Column | str) -> list[Column]:
         n, s, out = f.number().cast("double"), f.string(), []
         low = number(schema.get("min", schema.get("minimum")))
         high = number(schema.get("max", schema.get("maximum")))
@@ -129,7 +129,7 @@ class Checker:
             return TypedField(F.try_element_at(f.column, F.lit(name)), f.type.valueType)
         return TypedField(F.lit(None), None)
 
-    def _nested(self, f: Field, schema: dict, path: Column, depth: int) -> list[Column]:
+    def _nested(self, f: Field, schema: dict, path: Column | str, depth: int) -> list[Column]:
         out = []
         is_object = self._kind(f) == "object"
         if isinstance(names := schema.get("required"), list):
@@ -137,15 +137,15 @@ class Checker:
                 out.append(self._if(is_object & ~self.child(f, name).exists(), path, f"Required field '{name}' missing"))
         if isinstance(properties := schema.get("properties"), dict):
             for name, inner in properties.items():
-                below = F.when(path == "", F.lit(name)).otherwise(F.concat(path, F.lit("." + name)))
+                below = F.concat(path, F.lit("." + name)) if isinstance(path, Column) else f"{path}.{name}" if path else name
                 # a property that is missing is checked as null
                 out.append(F.when(is_object, self.errors(self.child(f, name), inner, below, depth + 1)).otherwise(_none()))
         if "items" in schema:
-            each = F.transform(f.elements(), lambda x, i: self.errors(f.element(x), schema["items"], F.concat(path, F.lit("."), i.cast("string")), depth + 1))
+            each = F.transform(f.elements(), lambda x, i: self.errors(f.element(x), schema["items"], F.concat(F.lit(path) if isinstance(path, str) else path, F.lit("."), i.cast("string")), depth + 1))
             out.append(F.coalesce(F.flatten(each), _none()))
         return out
 
-    def _more(self, f: Field, schema: dict, path: Column, depth: int) -> list[Column]:
+    def _more(self, f: Field, schema: dict, path: Column | str, depth: int) -> list[Column]:
         """Keywords beyond the store's own validator, in their standard meaning."""
         out, n, s, items = [], f.number().cast("double"), f.string(), f.elements()
 
@@ -192,9 +192,22 @@ class Checker:
         return out
 
 
+def schema_depth(schema: Any) -> int:
+    """Levels of nesting, over all keywords that hold schemas."""
+    if isinstance(schema, list):
+        return max(map(schema_depth, schema), default=0)
+    if not isinstance(schema, dict):
+        return 0
+    inner = [*schema["properties"].values()] if isinstance(schema.get("properties"), dict) else []
+    inner += [schema[k] for k in ("items", "allOf", "anyOf", "oneOf", "not", "if", "then", "else") if k in schema]
+    return 1 + max(map(schema_depth, inner), default=-1)
+
+
 def errors_column(resolver: Resolver, schema: Any, path: str = "", extended: bool = False) -> Column:
     """The errors of each item; the schema's root is the whole item."""
-    return Checker(extended).errors(resolver(""), schema, F.lit(path))
+    if schema_depth(schema) > MAX_DEPTH:
+        raise SecurityError(f"a schema may be {MAX_DEPTH} levels deep")
+    return Checker(extended).errors(resolver(""), schema, path)
 
 
 def validate_collection(df: DataFrame, resolver: Resolver, schema: Any, extended: bool = False) -> DataFrame:

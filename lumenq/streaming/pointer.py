@@ -45,7 +45,7 @@ def at_pointer(doc: DataFrame, pointer: str) -> tuple[Column, str]:
     values = [F.col("doc")]
     for t in tokens:
         v = values[-1]
-        key = F.when(variant_kind(v) == "object", F.try_variant_get(v, "$" + _quoted(t), "variant"))
+        key = F.try_variant_get(v, "$" + _quoted(t), "variant")  # NULL on a list
         values.append(F.coalesce(key, F.try_variant_get(v, f"$[{int(t)}]", "variant")) if is_index(t) else key)
     kinds = doc.select(F.array(*[F.coalesce(variant_kind(v), F.lit("missing")) for v in values])).first()[0]
     for token, kind, before in zip(tokens, kinds[1:], kinds):
