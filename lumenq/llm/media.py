@@ -33,6 +33,7 @@ HEADER = 33  # signature and the image header chunk
 SHARD_BYTES = 64 << 20
 PART = 1 << 20
 BLOCK = 512
+LEVEL = 6
 
 
 def padded(text: bytes) -> bytes:
@@ -48,7 +49,7 @@ def to_png(payload: bytes) -> bytes:
     height = len(payload) // UNIT
     rows = np.zeros((height, UNIT + 1), np.uint8)  # filter 0 before each row
     rows[:, 1:] = np.frombuffer(payload, np.uint8).reshape(height, UNIT)
-    squeezed = zlib.compress(rows.tobytes(), 1)
+    squeezed = zlib.compress(rows.tobytes(), LEVEL)
     data = b"".join(_chunk(b"IDAT", squeezed[a : a + PART]) for a in range(0, len(squeezed), PART))
     return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", UNIT, height, 8, 0, 0, 0, 0)) + data + _chunk(b"IEND", b"")
 
@@ -129,7 +130,7 @@ class ShardWriter:
             self.number, self.out = self.number + 1, None
 
 
-STORED = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("digest", T.StringType()), ("shard", T.StringType()), ("offset", T.LongType()), ("length", T.LongType())]
+STORED = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("digest", T.BinaryType()), ("shard", T.StringType()), ("offset", T.LongType()), ("length", T.LongType())]
 
 
 def store(df: DataFrame, folder: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -144,9 +145,9 @@ def store(df: DataFrame, folder: str, id_column: str = "doc_id", text_column: st
             raw, edge, rows = raw.tobytes(), offsets.tolist(), []
             for a, b in zip(edge, edge[1:]):
                 payload = padded(raw[a:b])
-                digest = hashlib.sha256(payload).hexdigest()
-                rows.append((b - a, len(payload), digest, *writer.add(digest, lambda p=payload: to_png(p))))
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+                digest = hashlib.sha256(payload)
+                rows.append((b - a, len(payload), digest.digest(), *writer.add(digest.hexdigest(), lambda p=payload: to_png(p))))
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
             columns = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types)]], names=[id_column, *[n for n, _ in STORED]])
         writer.close()
@@ -192,7 +193,7 @@ def probe(places: DataFrame, folder: str) -> DataFrame:
             columns = list(zip(*found)) if found else [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns]], names=["digest", "width", "height", "depth"])
 
-    return _by_shard(places).mapInArrow(run, "digest string, width long, height long, depth long")
+    return _by_shard(places).mapInArrow(run, "digest binary, width long, height long, depth long")
 
 
 def read_payloads(places: DataFrame, folder: str) -> DataFrame:
@@ -203,12 +204,12 @@ def read_payloads(places: DataFrame, folder: str) -> DataFrame:
             rows = []
             for x in data:
                 payload = from_png(x)
-                rows.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(x), hashlib.sha256(x).hexdigest(), feature(payload)))
-            types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                rows.append((hashlib.sha256(payload).digest(), zlib.crc32(payload[-32:]), len(x), hashlib.sha256(x).digest(), feature(payload)))
+            types = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
             columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types)]], names=["digest", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return _by_shard(places).mapInArrow(run, "digest string, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return _by_shard(places).mapInArrow(run, "digest binary, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string")
 
 
 def media_columns(df: DataFrame, folder: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -218,4 +219,5 @@ def media_columns(df: DataFrame, folder: str | None = None, id_column: str = "do
     places = cut(catalog(stored))
     known = read_payloads(places, folder).join(probe(places, folder), "digest").join(places.select("digest", "shard", "offset"), "digest")
     rows = stored.select(id_column, "n_bytes", "payload_bytes", "digest").join(known, "digest")
-    return rows.select(id_column, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "width", "height", "depth")
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return rows.select(id_column, "n_bytes", "payload_bytes", text("payload_sha256"), "tail_crc32", "media_bytes", text("media_sha256"), "feature", "shard", "offset", "width", "height", "depth")
