@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,19 @@ def stream(df: DataFrame, resolver: Resolver, position: list[str], condition: An
     return out.withColumn("item", F.when(resolver("").kind() == "object", kept).otherwise(F.col("item")))
 
 
+@dataclass(frozen=True)
+class StreamFilter:
+    """Conditions, page and projection of a stream, to be applied to any frame of items."""
+
+    conditions: Any = None
+    select: list[str] | None = None
+    limit: int | None = None
+    skip: int = 0
+
+    def apply(self, df: DataFrame, resolver: Resolver, position: list[str]) -> DataFrame:
+        return stream(df, resolver, position, self.conditions, self.limit, self.skip, self.select)
+
+
 def at_pointer(doc: DataFrame, pointer: str) -> tuple[Column, str]:
     """The value that the pointer leads to in a one-row frame with a column `doc`, and its kind; an error if there is none."""
     tokens = pointer_tokens(pointer)

@@ -310,6 +310,8 @@ def test_streams(spark, users):
     c = Collection.of_values(spark, [*USERS, 5])
     got = [python_value(r["item"]) for r in c.stream({"age": {"$gte": 25}}, limit=2, skip=1, select=["name"]).collect()]
     assert got == [{"name": "Bob"}, {"name": "Charlie"}]
+    same = pointer.StreamFilter({"age": {"$gte": 25}}, ["name"], 2, 1).apply(c.df, c.resolver, c.position)
+    assert [python_value(r["item"]) for r in same.collect()] == got
     assert c.stream([]).count() == 6 and c.stream(select=["name"]).collect()[-1]["item"].toPython() == 5
 
 
