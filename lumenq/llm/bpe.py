@@ -23,7 +23,7 @@ NONE = np.int32(2**31 - 1)
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 0, 3
 #: Pieces of more code points are never shared or kept, so that a 64-bit polynomial hash tells shared ones apart.
 SHARED_LENGTH = 64
-KEPT_PIECES = 600_000
+KEPT_PIECES = 300_000
 
 
 def byte_alphabet() -> list[str]:

@@ -43,7 +43,7 @@ PLACES = SIDE + 1
 ENTRY = LENGTH + SIDE
 CHUNK_INPUT = 4 << 20
 BUCKET_INPUT = 8 << 20
-SLICE = 3_000_000
+SLICE = 1_500_000
 LOW = np.uint64((1 << 24) - 1)
 WIDE = np.uint64((1 << 48) - 1)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from lumenq.llm.bpe import load
 from lumenq.llm.common import chunks_of, text_of, utf8_rows
 
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 
 
 def default_path() -> str:
