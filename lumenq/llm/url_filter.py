@@ -1,8 +1,9 @@
 """Operator 9: URL filters. Rules first, then naive Bayes over segmented host and path words.
 
 Names of hosts are run together or hyphenated; a unigram model splits each label into words by the best path (Viterbi).
-The unigram counts come from the words of all URLs. Naive Bayes is trained on all URLs too: a URL whose segmented host
-holds one of the seed words is taken as an example of class block, any other as one of class allow, so that words which
+The unigram counts come from all URLs: from paths and from host labels with hyphens, whose words are told apart already;
+a name that is run together is no word by itself, however often it stands. Naive Bayes is trained on all URLs too: a URL
+whose segmented host holds one of the seed words is taken as an example of class block, any other as one of class allow, so that words which
 go along with the seeds count as well. Counting runs on the cluster; the driver gets the VOCABULARY most frequent words
 and their counts, which bounds the model.
 
@@ -111,7 +112,8 @@ class Bayes:
 
 def train(parsed: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Segmenter, Bayes]:
     """parsed: host, path. Counts over all rows; at most `vocabulary` words of each kind come to the driver."""
-    word = F.explode(F.split(F.concat_ws(" ", "host", F.lower("path")), r"[^\p{L}]+"))
+    parted = F.array_join(F.filter(F.split("host", "[.]"), lambda label: F.contains(label, F.lit("-"))), " ")
+    word = F.explode(F.split(F.concat_ws(" ", parted, F.lower("path")), r"[^\p{L}]+"))
     counted = parsed.select(word.alias("w")).where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     top = counted.orderBy(F.desc("n"), "w").limit(vocabulary).collect()
     segmenter = Segmenter({r["w"]: r["n"] for r in top})
