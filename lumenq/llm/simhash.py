@@ -186,9 +186,13 @@ def bucket_rows(nodes: DataFrame, radius: int, most: int = BUCKET_ROWS, bits: in
 
 
 def whole_buckets(rows: DataFrame, keys: list[str], order: list, columns: list[str], body, schema: str) -> DataFrame:
-    """body(arrays of `columns`, bucket numbers) for some whole buckets at a time, rows in order; one task may have many."""
+    """body(arrays of `columns`, bucket numbers) for some whole buckets at a time, rows in order; one task may have many.
+
+    It gives one batch or several, one after the other.
+    """
     dealt = rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *order)
     width = len(keys)
+    several = lambda out: [out] if isinstance(out, pa.RecordBatch) else out
 
     def work(held):
         arrays = [np.concatenate(x) for x in zip(*held)]
@@ -207,12 +211,12 @@ def whole_buckets(rows: DataFrame, keys: list[str], order: list, columns: list[s
             arrays, change = work(held)
             last = int(np.nonzero(change)[0][-1]) if change.any() else 0  # its bucket may go on in the next batch
             if last:
-                yield body([x[:last] for x in arrays[width:]], np.cumsum(change[:last]))
+                yield from several(body([x[:last] for x in arrays[width:]], np.cumsum(change[:last])))
             held = [[x[last:] for x in arrays]]
             n = len(arrays[0]) - last
         if n:
             arrays, change = work(held)
-            yield body(arrays[width:], np.cumsum(change))
+            yield from several(body(arrays[width:], np.cumsum(change)))
 
     return dealt.mapInArrow(run, schema)
 
@@ -255,6 +259,8 @@ CANDIDATE_SHARE = 0.23
 #: Distinct shingles that a text is compared by: all, or the smallest hashes of a text that has more.
 SKETCH = 1024
 LEAF = 4096
+#: Pairs of rows that are looked at in one go.
+PAIRS = 500_000
 MIX = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
 
@@ -326,7 +332,10 @@ def leaf_links(wide: np.ndarray, start: np.ndarray, end: np.ndarray, most: int)
 
 
 def candidate_links(value: np.ndarray, node: np.ndarray, wide: np.ndarray, bucket: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes whose table values are within `radius` bits and whose wide fingerprints are within `most`."""
+    """Pairs of nodes whose table values are within `radius` bits and whose wide fingerprints are within `most`.
+
+    Not all of them: open_pairs() gives the others.
+    """
     new = np.concatenate(([True], (value[1:] != value[:-1]) | (bucket[1:] != bucket[:-1])))
     start = np.nonzero(new)[0]
     end = np.append(start[1:], len(value))
@@ -340,13 +349,40 @@ def candidate_links(value: np.ndarray, node: np.ndarray, wide: np.ndarray, bucke
     a, b = np.concatenate((a, i)), np.concatenate((b, j))
     distance = _distance(wide, a, b)
     near = distance <= most
-    return nearest_links(node[a[near]], node[b[near]], distance[near])
+    u, v = nearest_links(node[a[near]], node[b[near]], distance[near])
+    return u, v
+
+
+def open_pairs(value: np.ndarray, wide: np.ndarray, component: np.ndarray, bucket: np.ndarray, radius: int, most: int):
+    """Index pairs, some at a time: all rows whose table values are within `radius` bits and whose wide fingerprints are
+    within `most`, but for those of one component.
+    """
+    new = np.concatenate(([True], (value[1:] != value[:-1]) | (bucket[1:] != bucket[:-1])))
+    start = np.nonzero(new)[0]
+    end = np.append(start[1:], len(value))
+    g, h = trie_links(value[start].astype(np.uint64), bucket[start], radius, TABLE_BITS)
+    own = np.arange(len(value))
+    size = end - start
+    left = np.concatenate((own, np.repeat(start[g] - np.cumsum(size[g]) + size[g], size[g]) + np.arange(size[g].sum())))
+    first = np.concatenate((own + 1, np.repeat(start[h], size[g])))
+    count = np.concatenate((np.repeat(end, size) - own - 1, np.repeat(size[h], size[g])))
+    total = np.concatenate(([0], np.cumsum(count)))
+    a = 0
+    while a < len(left):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + PAIRS, side="right")) - 1)
+        i = np.repeat(left[a:b], count[a:b])
+        j = np.repeat(first[a:b] - total[a:b], count[a:b]) + np.arange(total[a], total[b])
+        apart = component[i] != component[j]
+        i, j = i[apart], j[apart]
+        near = _distance(wide, i, j) <= most
+        yield i[near], j[near]
+        a = b
 
 
 def nearest_links(u: np.ndarray, v: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of all pairs those that join a node with its nearest smaller or its nearest larger partner.
 
-    A group of many near copies stays together by them, and has no more of them than twice its nodes.
+    Most of a group of near copies stays together by them, and has no more of them than twice its nodes.
     """
     one, other, far = np.concatenate((u, v)), np.concatenate((v, u)), np.concatenate((distance, distance))
     larger = other > one
@@ -395,12 +431,12 @@ def near_copy_groups(df: DataFrame, id_column: str = "doc_id", text_column: str
         high, low = np.maximum(u, v), np.minimum(u, v)
         return pa.RecordBatch.from_arrays([pa.array(high), pa.array(low)], names=["u", "v"])
 
+    keys = ["table", "t", "k"]
     dealt = bucket_rows(rows, radius, bits=TABLE_BITS)
-    links = cut(whole_buckets(dealt, ["table", "t", "k"], ["fp", "node"], ["fp", "node", *words], body, "u long, v long").distinct())
+    links = cut(whole_buckets(dealt, keys, ["fp", "node"], ["fp", "node", *words], body, "u long, v long").distinct())
+    some = cut(links.select(F.explode(F.array("u", "v")).alias("id")).distinct())
     pieces = _sketched(df, id_column, text_column, width, lambda text, digests: (sketch(digests),), T.StructType([fields[0], T.StructField("sketch", T.BinaryType())]))
-    pieces = pieces.join(links.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    one = links.join(pieces.select(F.col("id").alias("u"), F.col("sketch").alias("a")), "u")
-    two = one.join(pieces.select(F.col("id").alias("v"), F.col("sketch").alias("b")), "v")
+    pieces = cut(pieces.join(some, "id", "left_semi").dropDuplicates(["id"]))
 
     def compare(batches):
         for batch in batches:
@@ -408,7 +444,24 @@ def near_copy_groups(df: DataFrame, id_column: str = "doc_id", text_column: str
             keep = pa.array([similarity(x, y) >= least for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(keep)
 
-    groups = connected_components(two.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        one = pairs.join(pieces.select(F.col("id").alias("u"), F.col("sketch").alias("a")), "u")
+        two = one.join(pieces.select(F.col("id").alias("v"), F.col("sketch").alias("b")), "v")
+        return two.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
+
+    def open_body(arrays, bucket):
+        value, node, component, *wide = arrays
+        for i, j in open_pairs(value, np.stack(wide, axis=1).view(np.uint64), component, bucket, radius, most):
+            u, v = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    # the nearest candidates first; then all that are still in different groups
+    held = cut(verified(links.where("u <> v")))
+    groups = connected_components(held)
+    again = rows.join(some.withColumnRenamed("id", "node"), "node", "left_semi").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    dealt = bucket_rows(again.select("table", "fp", "node", "component", *words), radius, bits=TABLE_BITS)
+    left = whole_buckets(dealt, keys, ["fp", "node"], ["fp", "node", "component", *words], open_body, "u long, v long").distinct()
+    groups = connected_components(held.unionAll(verified(left.join(links, ["u", "v"], "left_anti"))))
     of_node = nodes.join(groups, "node", "left").select("same", *words, F.coalesce("component", "node").alias("group"))
     return docs.join(of_node, ["same", *words]).where("id <> group").select("id", "group")
 

@@ -185,6 +185,55 @@ def test_near_copies(odd, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def defined_groups(texts, radius=2):
+    """Components, as smallest ids, of all candidates (by table values and wide fingerprints) of similarity 0.8."""
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    wide = [simhash.wide_fingerprint(simhash.shingle_digests(t.encode(), 5)) for t in texts]
+    unsigned = [[w % 2**64 for w in x] for x in wide]
+    values = [[w >> s & (1 << 24) - 1 for w in x for s in (8, 40)] for x in unsigned]
+    links = []
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        near = any((a ^ b).bit_count() <= radius for a, b in zip(values[i], values[j])) and sum((a ^ b).bit_count() for a, b in zip(unsigned[i], unsigned[j])) <= int(simhash.CANDIDATE_SHARE * 256)
+        if near and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            links.append((i, j))
+    label = components.local_components(len(texts), np.array([x[0] for x in links], int), np.array([x[1] for x in links], int))
+    return {k: g for k, g in enumerate(label.tolist()) if k != g}
+
+
+def templated(seed, n, words=160, changed=4):
+    """n texts of one template, each with some words of its own: most pairs are below 0.8."""
+    g = np.random.default_rng(seed)
+    base = [f"w{x}" for x in g.integers(0, 10**6, words)]
+    out = []
+    for k in range(n):
+        own = set(g.choice(words, int(g.integers(1, changed + 1)), replace=False).tolist())
+        out.append(" ".join(f"v{k}x{p}" if p in own else w for p, w in enumerate(base)))
+    return out
+
+
+def groups_of(spark, texts):
+    return {r["id"]: r["group"] for r in rows(simhash.near_copy_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+
+
+@pytest.mark.parametrize("seed, n, words, changed", [(1, 80, 160, 5), (3, 120, 60, 3)])
+def test_near_copies_are_whole_groups(spark, seed, n, words, changed):
+    texts = templated(seed, n, words, changed)
+    wanted = defined_groups(texts)
+    assert len(wanted) > 30 and groups_of(spark, texts) == wanted
+
+
+def test_open_pairs_are_all_pairs(monkeypatch):
+    g = np.random.default_rng(3)
+    monkeypatch.setattr(simhash, "PAIRS", 50)
+    value = np.sort(np.concatenate((g.integers(0, 2**24, 60), np.repeat([5, 4, 1024], 30))))
+    wide, group = g.integers(0, 2**8, (len(value), 4), dtype=np.uint64), g.integers(0, 40, len(value))
+    found = [x for pair in simhash.open_pairs(value, wide, group, np.zeros(len(value), np.int64), 2, 14) for x in zip(*map(np.ndarray.tolist, pair))]
+    far = lambda i, j: sum(int(a ^ b).bit_count() for a, b in zip(wide[i], wide[j]))
+    near = lambda i, j: int(value[i] ^ value[j]).bit_count() <= 2 and far(i, j) <= 14
+    wanted = [(i, j) for i, j in itertools.combinations(range(len(value)), 2) if group[i] != group[j] and near(i, j)]
+    assert wanted and sorted(tuple(sorted(x)) for x in found) == wanted
+
+
 def test_similarity_of_sketches():
     every = np.random.default_rng(4).choice(2**32, 5500, replace=False).astype(np.uint32)
     a, b = every[:5000], every[500:]
