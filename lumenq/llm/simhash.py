@@ -334,7 +334,7 @@ def leaf_links(wide: np.ndarray, start: np.ndarray, end: np.ndarray, most: int)
 def candidate_links(value: np.ndarray, node: np.ndarray, wide: np.ndarray, bucket: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of nodes whose table values are within `radius` bits and whose wide fingerprints are within `most`.
 
-    Not all of them: open_pairs() gives the others.
+    Not all of them, but every node that is in one, and (paired with itself) every node whose pairs were not all looked at.
     """
     new = np.concatenate(([True], (value[1:] != value[:-1]) | (bucket[1:] != bucket[:-1])))
     start = np.nonzero(new)[0]
@@ -350,7 +350,12 @@ def candidate_links(value: np.ndarray, node: np.ndarray, wide: np.ndarray, bucke
     distance = _distance(wide, a, b)
     near = distance <= most
     u, v = nearest_links(node[a[near]], node[b[near]], distance[near])
-    return u, v
+    size = end - start
+    part = np.zeros(len(size), bool)
+    for x, y in ((g, h), (h, g)):
+        part[x[(few[x] < size[x]) | (few[y] < size[y])]] = True
+    unseen = node[np.repeat(part, size)]
+    return np.concatenate((u, unseen)), np.concatenate((v, unseen))
 
 
 def open_pairs(value: np.ndarray, wide: np.ndarray, component: np.ndarray, bucket: np.ndarray, radius: int, most: int):

@@ -234,6 +234,18 @@ def test_open_pairs_are_all_pairs(monkeypatch):
     assert wanted and sorted(tuple(sorted(x)) for x in found) == wanted
 
 
+def nodes_of_links(value, wide):
+    u, v = simhash.candidate_links(value, np.arange(len(value)), wide, np.zeros(len(value), np.int64), 2, 58)
+    return {*u.tolist(), *v.tolist()}
+
+
+def test_rows_late_in_a_crowded_value_are_looked_at():
+    g = np.random.default_rng(5)
+    wide = g.integers(0, 2**64, (60, 4), dtype=np.uint64)  # unrelated texts, but for one pair
+    wide[59] = wide[29]
+    assert {29, 59} <= nodes_of_links(np.repeat([8, 9], 30), wide)
+
+
 def test_similarity_of_sketches():
     every = np.random.default_rng(4).choice(2**32, 5500, replace=False).astype(np.uint32)
     a, b = every[:5000], every[500:]
