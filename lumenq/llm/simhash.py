@@ -351,7 +351,7 @@ def candidate_links(value: np.ndarray, node: np.ndarray, wide: np.ndarray, bucke
     near = distance <= most
     u, v = nearest_links(node[a[near]], node[b[near]], distance[near])
     size = end - start
-    part = np.zeros(len(size), bool)
+    part = size > LEAF
     for x, y in ((g, h), (h, g)):
         part[x[(few[x] < size[x]) | (few[y] < size[y])]] = True
     unseen = node[np.repeat(part, size)]

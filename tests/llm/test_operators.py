@@ -246,6 +246,13 @@ def test_rows_late_in_a_crowded_value_are_looked_at():
     assert {29, 59} <= nodes_of_links(np.repeat([8, 9], 30), wide)
 
 
+def test_rows_far_apart_in_a_long_run_are_looked_at():
+    g = np.random.default_rng(6)
+    wide = g.integers(0, 2**64, (9000, 4), dtype=np.uint64)
+    wide[8999] = wide[0]
+    assert {0, 8999} <= nodes_of_links(np.full(9000, 7), wide)
+
+
 def test_similarity_of_sketches():
     every = np.random.default_rng(4).choice(2**32, 5500, replace=False).astype(np.uint32)
     a, b = every[:5000], every[500:]
