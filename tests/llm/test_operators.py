@@ -261,6 +261,16 @@ def test_similarity_of_sketches():
     assert simhash.similarity(b"", b"") == 1.0 and simhash.similarity(b"", np.array([1], np.uint32).tobytes()) == 0.0
 
 
+def test_similarity_of_long_texts_is_exact():
+    g = np.random.default_rng(8)
+    for n in (900, 3000, 20000):
+        words = [f"w{x}" for x in g.integers(0, 10**6, n)]
+        other = [f"v{k}" if k % 45 == 0 else w for k, w in enumerate(words)]
+        sets = [{tuple(x[k : k + 5]) for k in range(n - 4)} for x in (words, other)]
+        a, b = (simhash.sketch(simhash.shingle_digests(" ".join(x).encode(), 5)) for x in (words, other))
+        assert simhash.similarity(a, b) == pytest.approx(len(sets[0] & sets[1]) / len(sets[0] | sets[1]), abs=1e-4)
+
+
 # ---- 6: repeats --------------------------------------------------------------------------------------------------
 
 
