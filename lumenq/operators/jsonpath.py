@@ -73,7 +73,7 @@ def _descend(df: DataFrame, segment: Descend) -> DataFrame:
         f"WITH RECURSIVE n({''.join(f'`{c}`, ' for c in rest)}`ord`, v, depth) MAX RECURSION LEVEL {MAX_DEPTH} AS ("
         f"SELECT {kept}t.`ord`, t.v, 0 FROM {view} t UNION ALL "
         f"SELECT {kept}concat(t.`ord`, array(CAST(e.pos AS BIGINT))), e.value, t.depth + 1 FROM n t, LATERAL variant_explode(t.v) e) "
-        f"SELECT {''.join(f'`{c}`, ' for c in rest)}`ord`, v FROM n"
+        f"SELECT {''.join(f'`{c}`, ' for c in rest)}`ord`, v FROM n LIMIT ALL"  # lifts the row limit of recursion (a million)
     )
     if segment.name == "*":
         # a node's own values come before those of its children: rank -1 puts them first

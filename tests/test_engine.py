@@ -311,3 +311,14 @@ def test_hydration(spark, store):
     assert hs.find_one_as("users", {"id": 2}, User).name == "Bo" and len(hs.find_in_as("users", {}, User)) == 3 and [u.id for u in hs.stream_as("/users", User)] == [1, 2, 3]
     assert hs.push_object("users", User(7, "Z", None)) and store.get("users.3.active") is True and hs.set_object("one", Tag(1, "q")) and store.get("one.name") == "q"
     assert hs.find_one_as("users", {"id": 99}, User) is None
+
+
+def test_recursive_descent_has_no_row_limit(spark):
+    from pyspark.sql import functions as F
+
+    from lumenq.operators import jsonpath
+
+    n = 510_000  # two nodes each
+    docs = spark.range(n).select("id", F.parse_json(F.concat(F.lit('{"k":'), F.col("id").cast("string"), F.lit("}"))).alias("v"))
+    found = jsonpath.nodes(docs, "$..k").agg(F.count(F.lit(1)), F.sum(F.try_variant_get("v", "$", "bigint"))).first()
+    assert tuple(found) == (n, n * (n - 1) // 2)
