@@ -440,6 +440,17 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_rare_words_of_urls_count(spark):
+    g = np.random.default_rng(11)
+    names = ["".join(chr(97 + x) for x in g.integers(0, 26, 6)) for _ in range(40)]
+    urls = [f"http://{names[a]}{names[b]}.net/{names[c]}/{names[a]}" for a, b, c in g.integers(0, 40, (300, 3))] + [f"http://casino{names[a]}.net/{names[a]}-{names[39 - a]}" for a in range(20)] * 2
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    few, many = ({r["page_id"]: r for r in rows(url_filter.filter_urls(df, vocabulary=v))} for v in (5, 1000))
+    assert few.keys() == many.keys() and len({r["verdict"] for r in many.values()}) == 2
+    for k, r in many.items():
+        assert few[k]["verdict"] == r["verdict"] and few[k]["block_odds"] == pytest.approx(r["block_odds"], abs=2e-6), urls[k]
+
+
 def test_segmentation():
     s = url_filter.Segmenter({"casino": 5, "blue": 3})
     assert s.label("freecasinobets") == ["free", "casino", "bets"] and s.label("") == [] and "".join(s.label("xqzzkj" * 30)) == "xqzzkj" * 30
