@@ -2,6 +2,7 @@ import collections
 import hashlib
 import itertools
 import re
+import string
 import zlib
 
 import numpy as np
@@ -505,6 +506,19 @@ def test_gradients():
         assert abs((up - down) / (2 * e) - grads[name][at]) < 0.02 * max(1, abs(grads[name][at])), name
 
 
+def test_spans_are_those_of_all_windows(monkeypatch):
+    tagger = pii.trained()
+    late = "and " * 10 + 'password="' + string.ascii_lowercase * 4 + '12" end'
+    for text, wanted in (("Write to jane.doe [at] example [dot] com, or call.", "jane.doe [at] example [dot] com"), ("the password=correcthorsebattery was set", "password=correcthorsebattery"), ("use pwd: kfjWoQmzBtrE today", "pwd: kfjWoQmzBtrE"), (late, late[40:-4])):
+        added = pii.find_all([text], tagger)[0][1]
+        assert any(text[a:b].startswith(wanted) for a, b, _ in added), text
+    source = pii.Labelled(77)
+    texts = [late, "", *("".join(source.window()[0].replace("\0", "") for _ in range(6)) for _ in range(40))]
+    found = pii.find_all(texts, tagger)
+    monkeypatch.setattr(pii, "window_starts", lambda text: list(range(0, len(text), pii.STEP)))
+    assert found == pii.find_all(texts, tagger)
+
+
 def test_tagger_on_held_out_windows(odd, none):
     tagger, source = pii.trained(), pii.Labelled(12345)
     windows = [source.window() for _ in range(300)]
