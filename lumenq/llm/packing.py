@@ -94,8 +94,9 @@ def choose_cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> li
 class Packer:
     """Packs a stream of documents; holds the ids of one block and of the open sequence."""
 
-    def __init__(self, sentence_ids: np.ndarray, end_id: int, window: int, first_sequence: int):
+    def __init__(self, sentence_ids: np.ndarray, end_id: int, window: int, first_sequence: int, carry_ids: bool = False):
         self.sentence_ids, self.end_id, self.window, self.sequence = sentence_ids, end_id, window, first_sequence
+        self.carry_ids = carry_ids
         self.open: list[tuple] = []  # (doc_id, start, ids, doc_tokens) of what is not yet cut
 
     def add(self, docs: list[tuple]) -> list[tuple]:
@@ -163,7 +164,7 @@ class Packer:
         out = []
         for x, y, d, o, f, g in zip(a.tolist(), b.tolist(), doc.tolist(), ordinal.tolist(), first.tolist(), begin.tolist()):
             doc_id, start, _, n = self.open[d]
-            out.append((doc_id, start + x - g, y - x, zlib.crc32(little[4 * x : 4 * y]), n, self.sequence + o, x - f))
+            out.append((doc_id, start + x - g, y - x, zlib.crc32(little[4 * x : 4 * y]), n, self.sequence + o, x - f, *[ids[x:y]] * self.carry_ids))
         self.sequence += len(cuts)
         return out
 
@@ -171,18 +172,18 @@ class Packer:
 def pack(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None, window: int = WINDOW, end_id: int = 0, carry_ids: bool = False) -> DataFrame:
     """Pieces: id_column, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if carry_ids)."""
     path = path or default_path()
-    names = [id_column, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    names = [id_column, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * carry_ids]
 
     def run(batches):
         bpe = load(path)
         ends_sentence = np.array([t.rstrip(b"\"')\xe2\x80\x9d").endswith((b".", b"!", b"?", b"\n")) for t in bpe.token_bytes])
         context = TaskContext.get()
-        packer = Packer(ends_sentence, end_id, window, (context.partitionId() if context else 0) << PARTITION_SHIFT)
+        packer = Packer(ends_sentence, end_id, window, (context.partitionId() if context else 0) << PARTITION_SHIFT, carry_ids)
 
         def frame(pieces):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*pieces), kinds)], names=names)
 
-        kinds = [id_type, *[pa.int64()] * 6]
+        kinds = [id_type, *[pa.int64()] * 6, *[pa.list_(pa.int32())] * carry_ids]
         for batch, a, b, ids, counts in encoded_chunks(batches, 1, path):
             own = batch.column(0).slice(a, b - a).to_pylist()
             docs, at = [], 0
@@ -199,7 +200,7 @@ def pack(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", pa
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(kind)
-    schema = T.StructType([T.StructField(id_column, kind), *[T.StructField(n, T.LongType()) for n in names[1:]]])
+    schema = T.StructType([T.StructField(id_column, kind), *[T.StructField(n, T.LongType()) for n in names[1:7]], *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * carry_ids])
     return df.select(F.col(id_column), text_of(df, text_column).alias("_text")).mapInArrow(run, schema)
 
 

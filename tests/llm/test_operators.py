@@ -97,6 +97,12 @@ def test_packing(odd, none, tokenizer):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_carries_ids(odd, tokenizer):
+    pieces = rows(packing.pack(odd, carry_ids=True))
+    check_pieces(pieces, TEXTS, lambda t: tokenizer.encode(t, add_special_tokens=False).ids)
+    assert all(len(p["ids"]) == p["length"] and zlib.crc32(np.array(p["ids"], "<u4").tobytes()) == p["ids_crc32"] for p in pieces)
+
+
 def test_packing_wastes_little(spark):
     total = packing.padding(packing.pack(spark.read.parquet(f"{SMALL}/documents.parquet"))).first()
     assert total["padded"] < 0.03 * total["tokens"]
