@@ -21,8 +21,10 @@ from lumenq.llm.common import ragged_gather
 
 NONE = np.int32(2**31 - 1)
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 0, 3
-#: Pieces of more code points are never shared or kept, so that a 64-bit polynomial hash tells shared ones apart.
-SHARED_LENGTH = 64
+#: Pieces of more bytes are never shared or kept. Shared ones of up to EXACT bytes are told apart by a key that holds all
+#: their bytes, others by a hash, after which their bytes are compared.
+SHARED_LENGTH = 128
+EXACT = 7
 KEPT_PIECES = 300_000
 
 
@@ -52,6 +54,24 @@ def character_classes() -> np.ndarray:
     return table
 
 
+def alike(x: np.ndarray, a: np.ndarray, n: np.ndarray, y: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """For each i whether the n[i] >= 8 bytes of x from a[i] on are the m[i] bytes of y from b[i] on."""
+    out = n == m
+    if not out.any():
+        return out
+    x8, y8 = (np.ndarray((len(z) - 7,), "<u8", np.ascontiguousarray(z), strides=(1,)) for z in (x, y))  # eight bytes from each on
+    some = np.nonzero(out)[0]
+    a, b, n = a[some], b[some], n[some]
+    same = (x8[a] == y8[b]) & (x8[a + n - 8] == y8[b + n - 8])
+    longer = np.nonzero(same & (n > 16))[0]
+    if len(longer):
+        size = n[longer]
+        differ = ragged_gather(x, a[longer], size) != ragged_gather(y, b[longer], size)
+        same[longer] = ~np.logical_or.reduceat(differ, np.cumsum(size) - size)
+    out[some] = same
+    return out
+
+
 class ByteBpe:
     """One vocabulary file, read once in each process."""
 
@@ -97,6 +117,8 @@ class ByteBpe:
     def _forget(self) -> None:
         self.known = np.empty(0, np.uint64)
         self.known_slot = np.empty(0, np.int64)
+        self.known_bytes = np.empty(0, np.uint8)
+        self.known_start, self.known_length = np.empty(0, np.int64), np.empty(0, np.int64)
         self.piece_start, self.piece_length = np.empty(0, np.int64), np.empty(0, np.int64)
         self.piece_ids = np.empty(0, np.int32)
 
@@ -244,29 +266,29 @@ class ByteBpe:
             start[a + 1 : b] = False
         begin = np.nonzero(start)[0]
         length = np.diff(np.append(begin, len(x)))
-        if len(x) > len(self.up):
-            self._powers(1 << int(len(x)).bit_length())
-        sums = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum((x + np.uint32(1)) * self.up[: len(x)], out=sums[1:])
-        h = (sums[begin + length] - sums[begin]) * self.down[begin]
-        h ^= length.astype(np.uint64) << np.uint64(56)
-        code, distinct = pd.factorize(h)
+        byte_at = np.append(np.nonzero(lead)[0], len(raw))
+        first = byte_at[begin]
+        size = byte_at[begin + length] - first
+        code, distinct = pd.factorize(self._keys(raw, first, size))
         where = np.empty(len(distinct), np.int64)
         where[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-        byte_at = np.append(np.nonzero(lead)[0], len(raw))
-        slot = self._slots(distinct, byte_at[begin[where]], byte_at[begin[where] + length[where]], length[where], raw)
-        starts, lengths = self.piece_start[slot][code], self.piece_length[slot][code]
-        own = np.nonzero(length > SHARED_LENGTH)[0]  # long pieces: each on its own
+        slot = self._slots(distinct, first[where], size[where], raw)[code]
+        alone = slot < 0  # long pieces, and those whose hash another piece has
+        shown = where[code]
+        hashed = np.nonzero((size > EXACT) & ~alone & (shown != np.arange(len(shown))))[0]
+        alone[hashed] = ~alike(raw, first[hashed], size[hashed], raw, first[shown[hashed]], size[shown[hashed]])
+        starts, lengths = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+        kept = np.nonzero(~alone)[0]
+        starts[kept], lengths[kept] = self.piece_start[slot[kept]], self.piece_length[slot[kept]]
+        own = np.nonzero(alone)[0]
         store = self.piece_ids
         if len(own):
-            a, b = byte_at[begin[own]], byte_at[begin[own] + length[own]]
-            ids, counts = self.encode_pieces(ragged_gather(raw, a, b - a), np.cumsum(b - a) - (b - a))
-            starts, lengths = starts.copy(), lengths.copy()
+            n = size[own]
+            ids, counts = self.encode_pieces(ragged_gather(raw, first[own], n), np.cumsum(n) - n)
             starts[own], lengths[own] = len(store) + np.cumsum(counts) - counts, counts
             store = np.concatenate((store, ids))
         if forced:
             piece = np.searchsorted(begin, [a for a, _, _ in forced])
-            starts, lengths = starts.copy(), lengths.copy()
             starts[piece], lengths[piece] = len(store) + np.arange(len(forced)), 1
             store = np.concatenate((store, np.array([i for _, _, i in forced], np.int32)))
         ids = ragged_gather(store, starts, lengths)
@@ -274,8 +296,22 @@ class ByteBpe:
         np.cumsum(lengths, out=total[1:])
         return ids, np.diff(total[np.searchsorted(begin, edges)])
 
-    def _slots(self, distinct: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, raw: np.ndarray) -> np.ndarray:
-        """The kept entry of each distinct piece; those not yet kept are encoded together."""
+    def _keys(self, raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A number for each piece: its bytes and their count if it has at most EXACT, else a hash."""
+        if len(raw) > len(self.up):
+            self._powers(1 << int(len(raw)).bit_length())
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw + np.uint64(1)) * self.up[: len(raw)], out=sums[1:])
+        key = ((sums[first + size] - sums[first]) * self.down[first]) >> np.uint64(8)
+        key |= np.uint64(255 << 56)
+        short = np.nonzero(size <= EXACT)[0]
+        eight = np.ndarray((len(raw),), "<u8", np.append(raw, np.zeros(8, np.uint8)), strides=(1,))  # from each byte on
+        n = size[short].astype(np.uint64)
+        key[short] = (eight[first[short]] & ((np.uint64(1) << (n << np.uint64(3))) - np.uint64(1))) | n << np.uint64(56)
+        return key
+
+    def _slots(self, distinct: np.ndarray, first: np.ndarray, size: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        """The kept entry of each distinct key's piece, or -1; those not yet kept are encoded together."""
         at = np.searchsorted(self.known, distinct)
         found = np.zeros(len(distinct), bool)
         inside = at < len(self.known)
@@ -283,23 +319,30 @@ class ByteBpe:
         if len(self.known) > KEPT_PIECES and not found.all():
             self._forget()
             found[:] = False
-        slot = np.zeros(len(distinct), np.int64)
-        slot[found] = self.known_slot[at[found]] if len(self.known) else 0
-        new = np.nonzero(~found & (length <= SHARED_LENGTH))[0]
+        slot = np.full(len(distinct), -1, np.int64)
+        had = np.nonzero(found)[0]
+        if len(had):
+            entry = self.known_slot[at[had]]
+            same = size[had] <= EXACT
+            far = np.nonzero(~same)[0]
+            same[far] = alike(raw, first[had[far]], size[had[far]], self.known_bytes, self.known_start[entry[far]], self.known_length[entry[far]])
+            slot[had] = np.where(same, entry, -1)
+        new = np.nonzero(~found & (size <= SHARED_LENGTH))[0]
         if len(new):
-            size = b[new] - a[new]
-            ids, counts = self.encode_pieces(ragged_gather(raw, a[new], size), np.cumsum(size) - size)
-            first = len(self.piece_length)
+            n = size[new]
+            own = ragged_gather(raw, first[new], n)
+            ids, counts = self.encode_pieces(own, np.cumsum(n) - n)
+            slot[new] = np.arange(len(self.piece_length), len(self.piece_length) + len(new))
             self.piece_start = np.concatenate((self.piece_start, len(self.piece_ids) + np.cumsum(counts) - counts))
             self.piece_length = np.concatenate((self.piece_length, counts))
             self.piece_ids = np.concatenate((self.piece_ids, ids))
-            slot[new] = np.arange(first, first + len(new))
+            self.known_start = np.concatenate((self.known_start, len(self.known_bytes) + np.cumsum(n) - n))
+            self.known_length = np.concatenate((self.known_length, n))
+            self.known_bytes = np.concatenate((self.known_bytes, own))
             known = np.concatenate((self.known, distinct[new]))
             slots = np.concatenate((self.known_slot, slot[new]))
             order = np.argsort(known, kind="stable")
             self.known, self.known_slot = known[order], slots[order]
-        if not len(self.piece_length):
-            self.piece_start, self.piece_length = np.zeros(1, np.int64), np.zeros(1, np.int64)
         return slot
 
     # ---- and back ------------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ sequences among document ends (free), sentence ends (a small penalty) and, so th
 (a larger one). The cost of a sequence is its padding; a sequence whose length is a power of two isn't padded. With
 positions p and best costs f, f(j) = cut(j) + min over p(j) - window <= p(i) < p(j) of f(i) + window - (p(j) - p(i)),
 so the minimum of f(i) + p(i) over a sliding window is what is needed: a monotone queue gives it in amortised constant
-time. Powers of two are looked up by position.
+time. The powers of two below the window are looked up by position.
 
 A partition is packed in blocks of documents of bounded size. The last, unfinished sequence of a block is carried over
 to the next, and what is open at the end of a partition is cut into sequences by the binary digits of its length when
@@ -35,8 +35,6 @@ SENTENCE_PENALTY = 2.0
 ANYWHERE_PENALTY = 24.0
 #: A stretch without a natural cut of more than this many ids may be cut at any multiple of it as well.
 STRIDE = 256
-#: Sequences of these lengths are looked up as free of padding, besides full ones.
-POWERS = (64, 128, 256, 512)
 #: Sequence numbers of a partition start at its number shifted by so many bits.
 PARTITION_SHIFT = 40
 
@@ -62,7 +60,7 @@ def choose_cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> li
     source = [0] * n
     cost = {0: 0.0}  # by position
     place = {0: 0}
-    powers = [p for p in POWERS if p < window]
+    powers = [1 << k for k in range(window.bit_length()) if 1 << k < window]
     waiting, keys, head = [0], [0.0], 0  # candidates i and f(i) + p(i), both ascending from head on
     for j, (p, cut) in enumerate(zip(positions[1:], penalty.tolist()), 1):
         low = p - window
@@ -70,11 +68,10 @@ def choose_cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> li
             head += 1
         via = waiting[head]
         best = keys[head] - low
-        if best - cost[positions[via]] > 1.5:
-            for power in powers:
-                c = cost.get(p - power)
-                if c is not None and c < best:
-                    best, via = c, place[p - power]
+        for power in powers:
+            c = cost.get(p - power)
+            if c is not None and c < best:
+                best, via = c, place[p - power]
         best += cut
         cost[p], place[p], source[j] = best, j, via
         k = best + p

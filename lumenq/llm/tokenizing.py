@@ -44,9 +44,10 @@ def bpe_encode(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     def run(batches):
         for batch, a, b, ids, counts in encoded_chunks(batches, 1, path):
             edges = np.concatenate(([0], np.cumsum(counts)))
-            if edges[-1] < 2**31:
-                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=[id_column, "ids"])
+            if edges[-1] >= 2**31:  # of one text: chunks are small
+                raise ValueError("a text of over 2**31 ids doesn't fit into an array column")
+            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=[id_column, "ids"])
 
     schema = T.StructType([T.StructField(id_column, df.schema[id_column].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return df.select(F.col(id_column), text_of(df, text_column).alias("_text")).mapInArrow(run, schema)
