@@ -27,6 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rsplit("/", 1)[0]
+    if not sc.master.startswith("local"):
+        raise ValueError("a cluster needs spark.checkpoint.dir, a folder that its driver and executors share")
     where = "file://" + tempfile.mkdtemp(prefix="lumenq-checkpoint-")
     sc.setCheckpointDir(where)
     return where

@@ -2,7 +2,8 @@
 
 Defined results: a null text has no words, so it fails the base rule; a text that is all white space likewise. Rows
 are judged one by one: repeated rows repeat their verdict, ties cannot arise, an empty table gives no rows. Extra
-columns are kept only by `apply_rules(..., keep=True)`, where metric columns replace input columns of the same name.
+columns are kept by `kept_rows` and `apply_rules(..., keep=True)`; a count or verdict whose name an input column has is
+then called rule_ and its name.
 """
 
 from __future__ import annotations
@@ -40,13 +41,13 @@ class Rule:
     words: int = 0
 
     def column(self) -> Column:
-        n, d = 100 * F.col(self.numerator), F.col(self.denominator)
+        n, d = 100 * F.col(f"metrics.{self.numerator}"), F.col(f"metrics.{self.denominator}")
         tests = [n >= self.least * d] if self.least is not None else []
         tests += [n <= self.most * d] if self.most is not None else []
         out = tests[0]
         for t in tests[1:]:
             out = out & t
-        return out | (F.col("n_words") < self.words) if self.words else out
+        return out | (F.col("metrics.n_words") < self.words) if self.words else out
 
 
 #: Of every text; a text that fails one has failed the base.
@@ -78,14 +79,18 @@ def _repeated(words: Column) -> Column:
 
     def twice(sorted_grams: Column) -> Column:
         def same(x: Column, j: Column) -> Column:
-            before = F.when(j > 0, sorted_grams[j - 1]["h"] == x["h"]).otherwise(F.lit(False))
-            after = F.when(j + 1 < F.size(sorted_grams), sorted_grams[j + 1]["h"] == x["h"]).otherwise(F.lit(False))
+            def like(y: Column) -> Column:
+                return (y["h"] == x["h"]) & (y["g"] == x["g"])
+
+            before = F.when(j > 0, like(sorted_grams[j - 1])).otherwise(F.lit(False))
+            after = F.when(j + 1 < F.size(sorted_grams), like(sorted_grams[j + 1])).otherwise(F.lit(False))
             return before | after
 
         return let(F.sort_array(F.transform(F.filter(sorted_grams, same), lambda x: x["i"])), covered)
 
     def of(grams: Column) -> Column:
-        pairs = F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        # windows of one hash stand by their words, so that each lies next to those that are really equal
+        pairs = F.transform(grams, lambda h, i: F.struct(h.alias("h"), F.slice(words, i + 1, GRAM).alias("g"), i.alias("i")))
         return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(let(F.sort_array(pairs), twice))
 
     grams = F.transform(F.sequence(F.lit(0), n - GRAM), lambda i: F.xxhash64(*[words[i + k] for k in range(GRAM)]))
@@ -116,36 +121,46 @@ def metrics(text: Column) -> Column:
 
     words = F.filter(F.split(text, WHITE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda s: F.ltrim(s, F.lit(BLANKS)) != "")
-    of_words, of_lines = let(words, words_of), let(lines, lines_of)
-    return F.struct(of_words.alias("w"), of_lines.alias("l"), _symbols(text).alias("n_symbols"))
 
+    def flat(w: Column) -> Column:
+        return let(let(lines, lines_of), lambda x: F.struct(*[w[c].alias(c) for c in ("n_words", "word_chars", "n_repeat_words", "n_stop")], _symbols(text).alias("n_symbols"), x["n_lines"].alias("n_lines"), x["n_dup_lines"].alias("n_dup_lines"), F.lit(1).cast("bigint").alias("one")))
 
-def apply_rules(df: DataFrame, text_column: str = "text", thresholds: tuple[Rule, ...] = THRESHOLDS, base: tuple[Rule, ...] = BASE, keep: bool = False, id_column: str = "doc_id") -> DataFrame:
-    """Counts, base_failed and kept for each row; with keep, all input columns as well."""
+    return let(let(words, words_of), flat)
+
+
+def judged(df: DataFrame, carried: list[str], text_column: str, thresholds: tuple[Rule, ...], base: tuple[Rule, ...]) -> DataFrame:
+    """(c0, c1, ...: the carried columns, metrics: struct, base_failed, kept), so that no names can clash."""
     text = F.coalesce(df[text_column].cast("string"), F.lit(""))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    own = [c for c in df.columns if c not in {*names, "n_lines", "n_stop", "base_failed", "kept", "one", "w", "l"}] if keep else [id_column]
+    own = [f"c{k}" for k in range(len(carried))]
     # A generator of one row is a fence: what it makes is computed once, however often the rules refer to it.
-    counted = df.select(*[df[c] for c in own], F.inline(F.array(metrics(text))))
-    flat = counted.select(
-        *own,
-        F.col("w.n_words").alias("n_words"),
-        F.col("w.word_chars").alias("word_chars"),
-        "n_symbols",
-        F.col("l.n_dup_lines").alias("n_dup_lines"),
-        F.col("w.n_repeat_words").alias("n_repeat_words"),
-        F.col("l.n_lines").alias("n_lines"),
-        F.col("w.n_stop").alias("n_stop"),
-        F.lit(1).cast("bigint").alias("one"),
-    )
-    passes = lambda rules: [r.column() for r in rules]
-    good = F.lit(True)
-    for c in passes(base):
-        good = good & c
-    fine = F.lit(True)
-    for c in passes(thresholds):
-        fine = fine & c
-    return flat.select(*own, *names, "n_lines", "n_stop", (~good).alias("base_failed"), (good & fine).alias("kept"))
+    counted = df.select(*[df[c].alias(n) for c, n in zip(carried, own)], F.explode(F.array(metrics(text))).alias("metrics"))
+    good, fine = F.lit(True), F.lit(True)
+    for rule in base:
+        good = good & rule.column()
+    for rule in thresholds:
+        fine = fine & rule.column()
+    return counted.select(*own, "metrics", (~good).alias("base_failed"), (good & fine).alias("kept"))
+
+
+def apply_rules(df: DataFrame, text_column: str = "text", thresholds: tuple[Rule, ...] = THRESHOLDS, base: tuple[Rule, ...] = BASE, keep: bool = False, id_column: str = "doc_id") -> DataFrame:
+    """Counts, base_failed and kept for each row; with keep, all input columns as well."""
+    own = df.columns if keep else [id_column]
+    taken = {c.lower() for c in own}
+
+    def name(c: str) -> str:
+        while c.lower() in taken:
+            c = f"rule_{c}"
+        return c
+
+    rows = judged(df, own, text_column, thresholds, base)
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop"]
+    return rows.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(own)], *[F.col(f"metrics.{c}").alias(name(c)) for c in counts], *[F.col(c).alias(name(c)) for c in ("base_failed", "kept")])
+
+
+def kept_rows(df: DataFrame, text_column: str = "text", thresholds: tuple[Rule, ...] = THRESHOLDS, base: tuple[Rule, ...] = BASE) -> DataFrame:
+    """The rows that the rules keep, with all columns of df and no others."""
+    kept = judged(df, df.columns, text_column, thresholds, base).where("kept")
+    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(df.columns)])
 
 
 ORACLE = r"""

@@ -15,6 +15,8 @@ component of its fingerprint as well; an empty table gives no rows; no input col
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
@@ -31,6 +33,8 @@ from lumenq.llm.components import connected_components, local_components
 BITS = 64
 BUCKET_ROWS = 20_000
 BATCH_ROWS = 60_000
+#: Keys of crowded buckets up to this number are broadcast.
+BROADCAST_KEYS = 100_000
 SEED = 42
 
 
@@ -166,10 +170,14 @@ def bucket_rows(nodes: DataFrame, radius: int, most: int = BUCKET_ROWS, bits: in
 
     fixed = dict(enumerate(blocks_of(every, radius + 1)))
     rows = deal(nodes, F.array(*[_key(F.col("fp"), F.lit(t), b) for t, b in fixed.items()]))
-    done = None
+    keys, done = [*apart, "t", "k"], None
     for _ in range(2):
-        keys = [*apart, "t", "k"]
-        crowded = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*keys)
+        crowded = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*keys))
+        n = crowded.count()
+        if not n:
+            break
+        if n <= BROADCAST_KEYS:
+            crowded = F.broadcast(crowded)  # of a size that was checked; more of them are joined by a shuffle
         calm = rows.join(crowded, keys, "left_anti").select("t", "k", *own)
         done = calm if done is None else done.unionAll(calm)
         hot = rows.join(crowded, keys, "left_semi").select("t", "k", *own)
@@ -182,7 +190,7 @@ def bucket_rows(nodes: DataFrame, radius: int, most: int = BUCKET_ROWS, bits: in
             choice = F.when(F.col("t") == tag, F.array(*[_key(F.col("fp"), F.lit(t), b) for t, b in sub.items()])).otherwise(choice)
         rows = deal(hot, choice)
         fixed = finer
-    return done.unionAll(rows)
+    return rows if done is None else done.unionAll(rows)
 
 
 def whole_buckets(rows: DataFrame, keys: list[str], order: list, columns: list[str], body, schema: str) -> DataFrame:
@@ -250,28 +258,55 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
 # ---- near copies by similarity -----------------------------------------------------------------------------------
 
-#: SimHash words of 64 bits; each gives two tables of TABLE_BITS bits.
-WORDS = 4
-TABLE_BITS = 24
-TABLES = 2 * WORDS
-#: Candidates differ in at most this share of all bits; at a Jaccard similarity of 0.8 the mean is 0.15.
+#: Candidates differ in at most this share of all bits; at a Jaccard similarity of 0.8 the mean is BIT_SHARE.
 CANDIDATE_SHARE = 0.23
-#: A text of more distinct shingles is long: tests compare some on both sides of it.
-SKETCH = 1024
+BIT_SHARE = math.acos(2 * 0.8 / 1.8) / math.pi
+#: A pair of similarity 0.8 is in one of the tables at this probability at least.
+RECALL = 0.92
 LEAF = 4096
 #: Pairs of rows that are looked at in one go.
 PAIRS = 500_000
-MIX = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+#: Rows of a bucket of table values; they are not all compared.
+TABLE_BUCKET_ROWS = 200_000
+#: Bins, in words of 64, that bound the similarity of open candidates.
+BIN_WORDS = 16
+#: Open candidates of a node in a bucket that are compared before all others are.
+NEAREST = 4
+
+
+@dataclass(frozen=True)
+class Tables:
+    """Bits of a table value, number of tables, and the 64-bit SimHash words that hold the values one behind the other.
+
+    The bits grow with the logarithm of the number of rows, so that values which agree by chance stay few for each row;
+    the number of tables follows from the bits, so that RECALL holds at every size.
+    """
+
+    bits: int
+    tables: int
+    words: int
+
+    @classmethod
+    def of(cls, rows: int, radius: int) -> Tables:
+        bits = max(24, rows.bit_length() + 4)
+        within = sum(math.comb(bits, k) * BIT_SHARE**k * (1 - BIT_SHARE) ** (bits - k) for k in range(radius + 1))
+        tables = math.ceil(math.log(1 - RECALL) / math.log(1 - within) - 0.05)
+        return cls(bits, tables, max(4, -(-tables // (64 // bits))))
+
+    def value(self, table: int) -> tuple[int, int]:
+        """The word that holds the table's value and the value's lowest bit there."""
+        word, place = divmod(table, 64 // self.bits)
+        return word, place * self.bits
 
 
-def wide_fingerprint(digests: bytes) -> list[int]:
-    """WORDS fingerprints of the same shingles, each from the hashes mixed in another way."""
+def wide_fingerprint(digests: bytes, words: int = 4) -> list[int]:
+    """So many fingerprints of the same shingles, each from the hashes mixed in another way."""
     if not digests:
-        return [0] * WORDS
+        return [0] * words
     h = np.frombuffer(digests, ">u8").astype(np.uint64)
     out = []
-    for m in MIX:
-        x = h * np.uint64(m)
+    for k in range(words):
+        x = h * np.uint64(pow(0x9E3779B97F4A7C15, k, 2**64))
         x ^= x >> np.uint64(32)
         out.append(majority(x.astype(">u8").tobytes()))
     return out
@@ -282,6 +317,20 @@ def sketch(digests: bytes) -> bytes:
     return np.unique(np.frombuffer(digests, ">u4")[1::2].astype(np.uint32)).tobytes() if digests else b""
 
 
+def bins(hashes: bytes) -> list[int]:
+    """Which of 64 * BIN_WORDS bins a sketch's hashes fall into, as signed 64-bit integers."""
+    seen = np.zeros(64 * BIN_WORDS, np.uint8)
+    seen[np.frombuffer(hashes, np.uint32) % (64 * BIN_WORDS)] = 1
+    return np.packbits(seen).view(np.int64).tolist()
+
+
+def at_most(held: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A bound of the similarity of rows i and j: hashes in bins that the other set doesn't reach are in one set only."""
+    a, b = held[i], held[j]
+    both = np.minimum(size[i] - popcount(a & ~b).sum(1, dtype=np.int64), size[j] - popcount(b & ~a).sum(1, dtype=np.int64))
+    return both / np.maximum(size[i] + size[j] - both, 1)
+
+
 def similarity(a: bytes, b: bytes) -> float:
     """Jaccard similarity of two sets of hashes (ascending)."""
     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
@@ -326,8 +375,8 @@ def leaf_links(wide: np.ndarray, start: np.ndarray, end: np.ndarray, most: int)
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def candidate_links(value: np.ndarray, node: np.ndarray, wide: np.ndarray, bucket: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes whose table values are within `radius` bits and whose wide fingerprints are within `most`.
+def candidate_links(value: np.ndarray, node: np.ndarray, wide: np.ndarray, bucket: np.ndarray, radius: int, most: int, bits: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of nodes, and their distance, whose table values are within `radius` bits and wide fingerprints within `most`.
 
     Not all of them, but every node that is in one, and (paired with itself) every node whose pairs were not all looked at.
     """
@@ -335,8 +384,8 @@ def candidate_links(value: np.ndarray, node: np.ndarray, wide: np.ndarray, bucke
     start = np.nonzero(new)[0]
     end = np.append(start[1:], len(value))
     a, b = leaf_links(wide, start, end, most)
-    g, h = trie_links(value[start].astype(np.uint64), bucket[start], radius, TABLE_BITS)
-    few = np.minimum(end - start, 16)  # of large groups, which hold together by themselves
+    g, h = trie_links(value[start].astype(np.uint64), bucket[start], radius, bits)
+    few = np.minimum(end - start, 16)  # the rest is looked at later
     count = few[g] * few[h]
     which = np.repeat(np.arange(len(g)), count)
     inner = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
@@ -344,132 +393,201 @@ def candidate_links(value: np.ndarray, node: np.ndarray, wide: np.ndarray, bucke
     a, b = np.concatenate((a, i)), np.concatenate((b, j))
     distance = _distance(wide, a, b)
     near = distance <= most
-    u, v = nearest_links(node[a[near]], node[b[near]], distance[near])
+    u, v, d = nearest_links(node[a[near]], node[b[near]], distance[near])
     size = end - start
     part = size > LEAF
     for x, y in ((g, h), (h, g)):
         part[x[(few[x] < size[x]) | (few[y] < size[y])]] = True
     unseen = node[np.repeat(part, size)]
-    return np.concatenate((u, unseen)), np.concatenate((v, unseen))
+    return np.concatenate((u, unseen)), np.concatenate((v, unseen)), np.concatenate((d, np.zeros(len(unseen), np.int64)))
 
 
-def open_pairs(value: np.ndarray, wide: np.ndarray, component: np.ndarray, bucket: np.ndarray, radius: int, most: int):
-    """Index pairs, some at a time: all rows whose table values are within `radius` bits and whose wide fingerprints are
-    within `most`, but for those of one component.
+def open_pairs(value: np.ndarray, wide: np.ndarray, component: np.ndarray, bucket: np.ndarray, radius: int, most: int, bits: int = 24):
+    """Index pairs and their distances, some at a time: all rows of different components whose table values are within
+    `radius` bits and whose wide fingerprints are within `most`.
+
+    Rows stand in the order of bucket, value and component; rows of one component are never paired to look at them.
     """
+    n = len(value)
     new = np.concatenate(([True], (value[1:] != value[:-1]) | (bucket[1:] != bucket[:-1])))
     start = np.nonzero(new)[0]
-    end = np.append(start[1:], len(value))
-    g, h = trie_links(value[start].astype(np.uint64), bucket[start], radius, TABLE_BITS)
-    own = np.arange(len(value))
+    end = np.append(start[1:], n)
+    run = np.cumsum(new) - 1
+    rank = np.unique(component, return_inverse=True)[1]
+    block = run * (int(rank.max(initial=0)) + 1) + rank  # ascending
+    g, h = trie_links(value[start].astype(np.uint64), bucket[start], radius, bits)
     size = end - start
-    left = np.concatenate((own, np.repeat(start[g] - np.cumsum(size[g]) + size[g], size[g]) + np.arange(size[g].sum())))
-    first = np.concatenate((own + 1, np.repeat(start[h], size[g])))
-    count = np.concatenate((np.repeat(end, size) - own - 1, np.repeat(size[h], size[g])))
+    own = np.arange(n)
+    which = np.repeat(np.arange(len(g)), size[g])
+    other = np.repeat(start[g] - np.cumsum(size[g]) + size[g], size[g]) + np.arange(len(which))
+    same = h[which] * (int(rank.max(initial=0)) + 1) + rank[other]
+    low, high = np.searchsorted(block, same, side="left"), np.searchsorted(block, same, side="right")
+    left = np.concatenate((own, other, other))
+    first = np.concatenate((np.searchsorted(block, block, side="right"), start[h][which], high))
+    last = np.concatenate((end[run], low, end[h][which]))
+    some = np.nonzero(last > first)[0]
+    left, first, count = left[some], first[some], (last - first)[some]
     total = np.concatenate(([0], np.cumsum(count)))
     a = 0
     while a < len(left):
         b = max(a + 1, int(np.searchsorted(total, total[a] + PAIRS, side="right")) - 1)
         i = np.repeat(left[a:b], count[a:b])
         j = np.repeat(first[a:b] - total[a:b], count[a:b]) + np.arange(total[a], total[b])
-        apart = component[i] != component[j]
-        i, j = i[apart], j[apart]
-        near = _distance(wide, i, j) <= most
-        yield i[near], j[near]
+        distance = _distance(wide, i, j)
+        near = distance <= most
+        yield i[near], j[near], distance[near]
         a = b
 
 
-def nearest_links(u: np.ndarray, v: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of all pairs those that join a node with its nearest smaller or its nearest larger partner.
+def nearest_links(u: np.ndarray, v: np.ndarray, distance: np.ndarray, most: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all pairs those that join a node with its `most` nearest smaller or `most` nearest larger partners, node first.
 
-    Most of a group of near copies stays together by them, and has no more of them than twice its nodes.
+    Most of a group of near copies stays together by them.
     """
     one, other, far = np.concatenate((u, v)), np.concatenate((v, u)), np.concatenate((distance, distance))
     larger = other > one
     order = np.lexsort((other, far, larger, one))
-    one, other, larger = one[order], other[order], larger[order]
+    one, other, far, larger = one[order], other[order], far[order], larger[order]
     first = np.ones(len(one), bool)
-    first[1:] = (one[1:] != one[:-1]) | (larger[1:] != larger[:-1])
-    return one[first], other[first]
+    first[1:] = (one[1:] != one[:-1]) | (other[1:] != other[:-1])  # each pair once
+    one, other, far, larger = one[first], other[first], far[first], larger[first]
+    new = np.ones(len(one), bool)
+    new[1:] = (one[1:] != one[:-1]) | (larger[1:] != larger[:-1])
+    begin = np.nonzero(new)[0]
+    keep = np.arange(len(one)) - np.repeat(begin, np.diff(np.append(begin, len(one)))) < most
+    return one[keep], other[keep], far[keep]
+
 
+def _hashed(rows: DataFrame, keys: list[T.StructField], width: int, body, more: list[T.StructField]) -> DataFrame:
+    """The key columns of rows, and the columns that body makes of the text (the last column) and its shingles' digests."""
 
-def _sketched(df: DataFrame, id_column: str, text_column: str, width: int, body, schema: T.StructType) -> DataFrame:
     def run(batches):
         for batch in batches:
-            raw, offsets = utf8_rows(batch.column(1))
+            raw, offsets = utf8_rows(batch.column(batch.num_columns - 1))
             raw, edges = raw.tobytes(), offsets.tolist()
-            rows = [body(raw[a:b], shingle_digests(raw[a:b], width)) for a, b in zip(edges, edges[1:])]
-            columns = list(zip(*rows)) if rows else [[]] * (len(schema) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema.fields[1:])]], names=schema.names)
+            made = [body(raw[a:b], shingle_digests(raw[a:b], width)) for a, b in zip(edges, edges[1:])]
+            columns = list(zip(*made)) if made else [[]] * len(more)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, more)]], names=schema.names)
 
-    return df.select(F.col(id_column).cast("bigint").alias("id"), text_of(df, text_column).alias("_text")).mapInArrow(run, schema)
+    schema = T.StructType([*keys, *more])
+    return rows.mapInArrow(run, schema)
 
 
-def near_copy_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
-    """(id, group): the smallest id of the group, for each row whose text has a copy or near copy under a smaller id.
+def _keyed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, row, _text): rows of one id and one text are the same row, whatever else they hold."""
+    text = text_of(df, text_column)
+    return df.select(F.col(id_column).cast("bigint").alias("id"), F.xxhash64(text).alias("row"), text.alias("_text")).where("id IS NOT NULL")
+
+
+def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
+    """(id, row, first): for each row its id and the hash of its text, and those of the smallest of its group.
 
-    Near copies share `least` of their distinct shingles. Candidates come from eight tables of 24 SimHash bits, each
-    joined by its trie within `radius` bits: a pair of similarity 0.8 is in one of them at over nine times in ten, one
-    of 0.9 nearly always. Candidates are then compared by their shingles.
+    Near copies share `least` of their distinct shingles. Candidates come from tables of SimHash bits (Tables), each
+    joined by its trie within `radius` bits. Candidates are compared by all their shingles: first each node's nearest,
+    then the nearest of those that are still in different groups, at last all that still are; so all candidates are in
+    one group, were compared, or can't be similar by the bins of their shingles; a large group of near copies costs some
+    comparisons for each of its texts.
     """
-    fields = [T.StructField("id", T.LongType()), T.StructField("same", T.LongType()), *[T.StructField(f"w{k}", T.LongType()) for k in range(WORDS)]]
+    plan = Tables.of(df.count(), radius)
+    longs = lambda names: [T.StructField(n, T.LongType()) for n in names]
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    words = [f"w{k}" for k in range(WORDS)]
+    words = [f"w{k}" for k in range(plan.words)]
 
     def first(text: bytes, digests: bytes) -> tuple:
-        return signed(xxhash.xxh3_64_intdigest(b" ".join(text.lower().split()))), *wide_fingerprint(digests)
+        return signed(xxhash.xxh3_64_intdigest(b" ".join(text.lower().split()))), *wide_fingerprint(digests, len(words))
+
+    docs = cut(_hashed(_keyed(df, id_column, text_column), longs(["id", "row"]), width, first, longs(["same", *words])))
+    nodes = docs.groupBy("same", *words).agg(F.min(F.struct("id", "row")).alias("first"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    most = int(CANDIDATE_SHARE * 64 * plan.words)
+    mask = F.lit((1 << plan.bits) - 1)
+    at = [plan.value(t) for t in range(plan.tables)]
+    values = F.array(*[F.struct(F.lit(t).alias("table"), F.shiftrightunsigned(F.col(f"w{w}"), shift).bitwiseAND(mask).alias("fp")) for t, (w, shift) in enumerate(at)])
+
+    def dealt(rows: DataFrame, more: list[str], body, schema: str) -> DataFrame:
+        own = ["node", *more, *words]
+        spread = rows.select(F.explode(values).alias("x"), *own).select("x.table", "x.fp", *own)
+        buckets = bucket_rows(spread, radius, TABLE_BUCKET_ROWS, plan.bits)
+        return whole_buckets(buckets, ["table", "t", "k"], ["fp", *more[:1], "node"], ["fp", *own], body, schema)
+
+    def batch(u, v, d) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d)], names=["u", "v", "d"])
+
+    def nearest(arrays, bucket):
+        value, node, *wide = arrays
+        return batch(*candidate_links(value, node, np.stack(wide, axis=1).view(np.uint64), bucket, radius, most, plan.bits))
 
-    docs = cut(_sketched(df, id_column, text_column, width, first, T.StructType(fields)).where("id IS NOT NULL"))
-    nodes = cut(docs.groupBy("same", *words).agg(F.min("id").alias("node")))
-    tables = F.array(*[F.struct(F.lit(t).alias("table"), F.shiftrightunsigned(F.col(f"w{t // 2}"), 40 if t % 2 else 8).bitwiseAND(F.lit((1 << TABLE_BITS) - 1)).alias("fp")) for t in range(TABLES)])
-    rows = nodes.select(F.explode(tables).alias("x"), "node", *words).select("x.table", "x.fp", "node", *words)
-    most = int(CANDIDATE_SHARE * 64 * WORDS)
+    def still_open(arrays, bucket):
+        value, node, component, size, *more = arrays
+        held, wide = (np.stack(x, axis=1).view(np.uint64) for x in (more[:BIN_WORDS], more[BIN_WORDS:]))
+        for i, j, d in open_pairs(value, wide, component, bucket, radius, most, plan.bits):
+            may = at_most(held, size, i, j) >= least - 1e-9
+            yield node[i[may]], node[j[may]], d[may]
 
-    def body(arrays, bucket):
-        value, node, *wide = arrays
-        u, v = candidate_links(value, node, np.stack(wide, axis=1).view(np.uint64), bucket, radius, most)
-        high, low = np.maximum(u, v), np.minimum(u, v)
-        return pa.RecordBatch.from_arrays([pa.array(high), pa.array(low)], names=["u", "v"])
+    def nearest_open(arrays, bucket):
+        held = (np.empty(0, np.int64),) * 3
+        for found in still_open(arrays, bucket):
+            held = nearest_links(*(np.concatenate(x) for x in zip(held, found)), NEAREST)
+        yield batch(*held)
 
-    keys = ["table", "t", "k"]
-    dealt = bucket_rows(rows, radius, bits=TABLE_BITS)
-    links = cut(whole_buckets(dealt, keys, ["fp", "node"], ["fp", "node", *words], body, "u long, v long").distinct())
-    some = cut(links.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-    pieces = _sketched(df, id_column, text_column, width, lambda text, digests: (sketch(digests),), T.StructType([fields[0], T.StructField("sketch", T.BinaryType())]))
-    pieces = cut(pieces.join(some, "id", "left_semi").dropDuplicates(["id"]))
+    def all_open(arrays, bucket):
+        for found in still_open(arrays, bucket):
+            yield batch(*found)
+
+    def pairs(links: DataFrame) -> DataFrame:
+        return links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+    links = cut(dealt(nodes, [], nearest, "u long, v long, d long").groupBy("u", (F.col("v") > F.col("u")).alias("up"), (F.col("v") == F.col("u")).alias("unseen")).agg(F.min(F.struct("d", "v")).alias("n")).select("u", "n.v"))
+    some = cut(nodes.join(links.select(F.col("u").alias("node")).distinct(), "node", "left_semi"))
+    texts = _keyed(df, id_column, text_column).join(some.select("first.id", "first.row", "node"), ["id", "row"]).select("node", "_text")
+
+    def second(text: bytes, digests: bytes) -> tuple:
+        hashes = sketch(digests)
+        return hashes, len(hashes) // 4, *bins(hashes)
+
+    binned = [f"b{k}" for k in range(BIN_WORDS)]
+    pieces = cut(_hashed(texts, longs(["node"]), width, second, [T.StructField("sketch", T.BinaryType()), *longs(["n", *binned])]).dropDuplicates(["node"]))
+    counted = some.select("node", *words).join(pieces.select("node", "n", *binned), "node")
 
     def compare(batches):
-        for batch in batches:
-            u, v, a, b = batch.columns
+        for rows in batches:
+            u, v, a, b = rows.columns
             keep = pa.array([similarity(x, y) >= least for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(keep)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(pieces.select(F.col("id").alias("u"), F.col("sketch").alias("a")), "u")
-        two = one.join(pieces.select(F.col("id").alias("v"), F.col("sketch").alias("b")), "v")
+    def verified(found: DataFrame) -> DataFrame:
+        one = found.join(pieces.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u")
+        two = one.join(pieces.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
         return two.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
-    def open_body(arrays, bucket):
-        value, node, component, *wide = arrays
-        for i, j in open_pairs(value, np.stack(wide, axis=1).view(np.uint64), component, bucket, radius, most):
-            u, v = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+    seen = cut(pairs(links))
+    groups = connected_components(verified(seen))
+    for body in (nearest_open, all_open):
+        rows = counted.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        found = cut(pairs(dealt(rows, ["component", "n", *binned], body, "u long, v long, d long")).join(seen, ["u", "v"], "left_anti"))
+        seen = seen.unionAll(found)
+        groups = connected_components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(verified(found)))
+    smallest = groups.join(some.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
+    of_node = nodes.join(groups.join(smallest, "component").select("node", "least"), "node", "left")
+    return docs.join(of_node.select("same", *words, F.coalesce("least", "first").alias("first")), ["same", *words]).select("id", "row", "first")
+
 
-    # the nearest candidates first; then all that are still in different groups
-    held = cut(verified(links.where("u <> v")))
-    groups = connected_components(held)
-    again = rows.join(some.withColumnRenamed("id", "node"), "node", "left_semi").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    dealt = bucket_rows(again.select("table", "fp", "node", "component", *words), radius, bits=TABLE_BITS)
-    left = whole_buckets(dealt, keys, ["fp", "node"], ["fp", "node", "component", *words], open_body, "u long, v long").distinct()
-    groups = connected_components(held.unionAll(verified(left.join(links, ["u", "v"], "left_anti"))))
-    of_node = nodes.join(groups, "node", "left").select("same", *words, F.coalesce("component", "node").alias("group"))
-    return docs.join(of_node, ["same", *words]).where("id <> group").select("id", "group")
+def near_copy_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
+    """(id, group): the smallest id of the group, for each row whose text has a copy or near copy under a smaller id."""
+    return near_copies(df, id_column, text_column, width, least, radius).select("id", F.col("first.id").alias("group")).where("id <> group")
 
 
 def drop_near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of df without those that have a copy or near copy under a smaller id.
+    """One row of each group of copies and near copies: that of the smallest id, and of those the smallest hash of the text.
 
-    Rows of one id stay or go together. Rows without id are kept.
+    Of repeated rows (one id and one text) the smallest as JSON stays. Rows without id are kept.
     """
-    copies = near_copy_groups(df, id_column, text_column, width, least).select(F.col("id").alias("_copy"))
-    return df.join(copies, df[id_column].cast("bigint") == F.col("_copy"), "left_anti")
+    rows = cut(near_copies(df, id_column, text_column, width, least))
+    gone = rows.where("id <> first.id OR row <> first.row").select("id", "row")
+    again = rows.groupBy("id", "row").agg(F.count(F.lit(1)).alias("n"), F.first("first").alias("first")).where("n > 1").select("id", "row", "first")
+    names = [f"c{k}" for k in range(len(df.columns))]
+    own = df.select(F.col(id_column).cast("bigint").alias("id"), F.xxhash64(text_of(df, text_column)).alias("row"), *[df[c].alias(n) for c, n in zip(df.columns, names)])
+    kept = own.join(gone.unionAll(again.select("id", "row")), ["id", "row"], "left_anti").select(*names)
+    whole = F.struct(*names)
+    once = own.join(again.where("id = first.id AND row = first.row").select("id", "row"), ["id", "row"]).groupBy("id", "row").agg(F.min_by(whole, F.to_json(whole)).alias("whole")).select("whole.*")
+    return kept.unionAll(once).toDF(*df.columns)
