@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the columns of documents. Each calls
 one of the operators in lumenq.llm and works on all that its predecessor kept.
+
+Defined results: a null or white text fails the quality rules; rows without id are kept by both kinds of dedup and lose
+nothing to other rows; of copies and near copies the row of the smallest id stays, of repeated rows one; extra columns
+of whatever name pass through all stages but the last unchanged; an empty table gives no rows. n_chars follows the text.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenq.llm import packing, pii, quality_rules, repeats, simhash
-from lumenq.llm.common import scratch_path
+from lumenq.llm.common import drop_path, scratch_path
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -21,7 +25,7 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.apply_rules(docs, keep=True).where("kept").select(*docs.columns)
+    return quality_rules.kept_rows(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +62,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each but the last is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"stage-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # the stage that read it is written
+            drop_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
