@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import json
-import tempfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -245,13 +242,11 @@ def object_keys(spark: SparkSession, d: str) -> DataFrame:
     return _props(spark, d).select(F.explode(keys(F.col("v"))).alias("key")).distinct()
 
 
-@register("jsonpath_slice", "SELECT event_id FROM events WHERE event_id >= 10 AND event_id < 60 AND (event_id - 10) % 7 = 0")
+@register("jsonpath_slice", "SELECT user_id, unnest(ids[2:9:3]) AS event_id FROM (SELECT user_id, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY user_id)")
 def jsonpath_slice(spark: SparkSession, d: str) -> DataFrame:
-    from lumenq.functions.paths import Slice, slice_bounds
-
-    take = slice_bounds(Slice(10, 60, 7), 1 << 62)  # of a table in place of an array: places are keys
-    p = F.col("event_id")
-    return spark.read.parquet(f"{d}/events.parquet").where((p >= take.start) & (p < take.stop) & ((p - take.start) % take.step == 0)).select("event_id")
+    ids = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    boxed = ids.select("user_id", F.to_variant_object(F.struct("ids")).alias("v"))
+    return jsonpath.nodes(boxed, "$.ids[1:9:3]").select("user_id", F.try_variant_get("v", "$", "bigint").alias("event_id"))
 
 
 @register("jsonpath_key", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -393,60 +388,4 @@ def tier2_filter(spark: SparkSession, d: str) -> DataFrame:
     return jsonpath.nodes(boxed, "[?(@.x > 0.3)].x").select("vec_id", F.try_variant_get("v", "$", "double").cast("float").alias("x"))
 
 
-# ---- the store: results of whole sessions, without SQL -----------------------------------------------------------
-
-
-def _store(spark: SparkSession, d: str):
-    """A store over the nations of the tables."""
-    from lumenq.config import config
-    from lumenq.sources.store import Store
-
-    rows = [r.asDict() for r in spark.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey").collect()]
-    folder = Path(tempfile.mkdtemp(prefix="lumenq-"))
-    base, config.base_path = config.base_path, None
-    try:
-        store = Store(spark, str(folder / "db.json"))
-    finally:
-        config.base_path = base
-    store.from_json(json.dumps({"nations": rows}))
-    return store
-
-
-@register("store_transactions")
-def store_transactions(spark: SparkSession, d: str) -> DataFrame:
-    store = _store(spark, d)
-    with store.transaction():
-        store.query("UPDATE nations SET n_name = 'X' WHERE n_regionkey = 0")
-    store.begin()
-    store.clear()
-    store.rollback()
-    return store.collection("nations").query({"where": [{"field": "n_name", "value": "X"}], "select": ["n_nationkey"]}).select(F.try_variant_get("n_nationkey", "$", "bigint").alias("n_nationkey"))
-
-
-@register("store_history")
-def store_history(spark: SparkSession, d: str) -> DataFrame:
-    store = _store(spark, d)
-    store.set("meta.version", 1)
-    store.increment("meta.version")
-    store.rollback_to(2)
-    return store.history_frame().select("id", "op", "path", "existed")
-
-
-@register("store_branches")
-def store_branches(spark: SparkSession, d: str) -> DataFrame:
-    store = _store(spark, d)
-    store.create_branch("test")
-    store.switch_branch("test")
-    store.query("DELETE FROM nations WHERE n_regionkey != 1")
-    store.switch_branch("main")
-    store.merge_branch("test")
-    return store.collection("nations").group_sizes("n_regionkey")
-
-
-@register("jsonl_round_trip")
-def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    from lumenq.sources import documents
-
-    folder = tempfile.mkdtemp(prefix="lumenq-") + "/lines"
-    documents.append_jsonl(spark.read.parquet(f"{d}/region.parquet"), folder)
-    return documents.read_jsonl(spark, folder).select(F.try_variant_get("item", "$.r_name", "string").alias("r_name"))
+from lumenq.plans import sessions  # noqa: E402, F401  registers the sessions with a document store

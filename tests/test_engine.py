@@ -322,3 +322,46 @@ def test_recursive_descent_has_no_row_limit(spark):
     docs = spark.range(n).select("id", F.parse_json(F.concat(F.lit('{"k":'), F.col("id").cast("string"), F.lit("}"))).alias("v"))
     found = jsonpath.nodes(docs, "$..k").agg(F.count(F.lit(1)), F.sum(F.try_variant_get("v", "$", "bigint"))).first()
     assert tuple(found) == (n, n * (n - 1) // 2)
+
+
+def test_held_lock_survives_cleanup_and_keeps_others_out(spark, store):
+    """Another process holds the lock, which looks stale; a second store neither removes it nor writes before it is free."""
+    import os
+    import subprocess
+    import sys
+    import time
+
+    lock = f"{store.main}.lock"
+    hold = "import fcntl, sys, time\nf = open(sys.argv[1], 'a')\nfcntl.flock(f, fcntl.LOCK_EX)\nprint('held', flush=True)\ntime.sleep(2)\n"
+    other = subprocess.Popen([sys.executable, "-c", hold, lock], stdout=subprocess.PIPE, text=True)
+    assert other.stdout.readline() == "held\n"
+    os.utime(lock, (time.time() - 7200,) * 2)
+    began = time.time()
+    second = Store(spark, str(store.main))
+    assert os.path.exists(lock)
+    second.set("x", 1)
+    assert time.time() - began > 1 and other.wait() == 0
+    os.utime(lock, (time.time() - 7200,) * 2)
+    assert second.cleanup() == 1 and not os.path.exists(lock)
+
+
+def test_two_processes_lose_no_write(store):
+    """Both add to one list through the lock; a transaction that began before another write doesn't commit."""
+    import subprocess
+    import sys
+
+    add = (
+        "import sys\nfrom lumenq.sources.store import Store\ns = Store(None, sys.argv[1])\nfor k in range(40):\n    s.push('log', [sys.argv[2], k])\n"
+    )
+    store.set("log", [])
+    both = [subprocess.Popen([sys.executable, "-c", add, str(store.main), name], cwd=str(settings.__file__).rsplit("/", 2)[0]) for name in "ab"]
+    assert [p.wait() for p in both] == [0, 0]
+    assert sorted(map(tuple, store.get("log"))) == [(name, k) for name in "ab" for k in range(40)]
+    assert [e["id"] for e in store.history()] == list(range(1, len(store.history()) + 1))
+    other = Store(store.spark, str(store.main))
+    store.begin()
+    store.set("mine", 1)
+    other.set("theirs", 1)
+    with pytest.raises(TransactionError):
+        store.commit()
+    assert store.get("theirs") == 1 and store.get("mine") is None and not store.in_transaction()
