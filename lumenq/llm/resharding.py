@@ -1,14 +1,18 @@
 """Operator 3: resharding by minimum-cost flow.
 
-Documents lie in old shards whose sizes differ; new shards have capacities. A block is the documents of one old shard
-that share a slot of a hash of their id; the number of blocks is a parameter, so the table of block sizes that the
-driver sees is bounded however many documents there are. A flow network leads from old shards over (old, new) edges,
-free where a shard stays and one a byte where bytes move, to the new shards' capacities. Its minimum cost is the fewest
-bytes that must move. Blocks are then handed over, larger ones first, along the edges with flow, until each new shard
-has its capacity to within a block; a last pass evens out the rest with the smallest blocks.
+Documents lie in old shards, folders of files whose sizes differ; new shards have capacities. A block is the documents of
+one old shard that share a slot of a hash of their id; old shards have blocks in proportion to their bytes, of which there
+are at most BLOCKS in all, so the table of block sizes that the driver sees is bounded however many documents there are.
+A file holds consecutive blocks of one old shard, some PART_BYTES of them.
 
-Shards whose blocks all stay are left as they are; all others are rewritten, sorted by slot. Slots are numbered without
-gaps: a block's first slot follows from the block counts, the place within a block from a window over that block only.
+A flow network leads from old shards over (old, new) edges, free where a shard stays and one a byte where bytes move, to
+the new shards' capacities. Its minimum cost is the fewest bytes that must move. Each old shard then hands over runs of
+consecutive blocks, as many as each edge has flow, so that few files are cut in two; a last pass evens out what is over
+with single blocks. Files all of whose blocks stay are left as they lie, byte for byte; the others are written again,
+into the folder of each block's new shard, and then removed.
+
+Slots are numbered without gaps: a block's first slot follows from the block counts, and a row's place within its block is
+stored with it, so that rows that stay needn't be written for their slot.
 
 Defined results: a null text has no bytes (size 8) and the checksum of an empty one; rows of one id lie in one block,
 in the order of size and checksum; a row without id hashes like any other value; an empty table gives no rows.
@@ -17,17 +21,19 @@ in the order of size and checksum; a row without id hashes like any other value;
 from __future__ import annotations
 
 from dataclasses import dataclass
-from heapq import heapify, heappop, heappush
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenq.llm.common import scratch_path
+from lumenq.llm.common import drop_path, scratch_path
 
 SHARDS = 24
 OLD_SHARDS = 20
-BLOCKS = 1024  # of each old shard
+BLOCKS = 20_480
+PART_BYTES = 64 << 20
+LEAST_PART = 1 << 20
 OVERHEAD = 8
 
 
@@ -82,109 +88,143 @@ def even_capacities(total: int, shards: int) -> list[int]:
 
 @dataclass
 class Plan:
-    """Where blocks go. target[old][block]: new shard, first[old][block]: first slot there."""
+    """Where blocks go. size[old][block]; target[old][block]: new shard; first[old][block]: first slot there; part[old][block]: file."""
 
-    target: np.ndarray
-    first: np.ndarray
+    size: list[np.ndarray]
+    target: list[np.ndarray]
+    first: list[np.ndarray]
+    part: list[np.ndarray]
     sizes: list[int]
     moved: int
     least: int  # bytes that any plan must move
-    changed: list[int]
+    affected: set[tuple[int, int]]  # (old, part) of files that don't stay as they are
+
+
+def parts_of(size: np.ndarray, most: int) -> np.ndarray:
+    """The number of the file of each block: consecutive blocks of about `most` bytes."""
+    return (np.cumsum(size) - size) // max(1, most)
 
 
-def plan_blocks(size: np.ndarray, rows: np.ndarray, shards: int = SHARDS) -> Plan:
-    """size, rows: bytes and documents of block [old shard, block]."""
-    old, blocks = size.shape
-    supply = [int(x) for x in size.sum(1)]
+def plan_blocks(size: list[np.ndarray], rows: list[np.ndarray], shards: int = SHARDS, part_bytes: int = PART_BYTES) -> Plan:
+    """size, rows: bytes and documents of each block, by old shard."""
+    old = len(size)
+    supply = [int(x.sum()) for x in size]
     capacity = even_capacities(sum(supply), shards)
     flow = minimum_cost_flow(supply, capacity, [[0 if i == j else 1 for j in range(shards)] for i in range(old)])
-    target = np.repeat(np.minimum(np.arange(old), shards - 1)[:, None], blocks, axis=1)
-    filled = [0] * shards
+    part = [parts_of(x, part_bytes) for x in size]
+    target, filled = [], [0] * shards
     for i in range(old):
-        room = dict(enumerate(flow[i]))
-        order = np.argsort(-size[i], kind="stable")
-        # larger blocks first, each to the edge with the most flow left; a shard that keeps a part counts its own edge
-        heap = [(-amount, j != i, j) for j, amount in room.items() if amount]
-        heapify(heap)
-        for b in order.tolist():
-            if not size[i, b] or not heap:
-                continue
-            amount, moves, j = heappop(heap)
-            target[i, b] = j
-            filled[j] += int(size[i, b])
-            heappush(heap, (amount + int(size[i, b]), moves, j))
+        edges = sorted((j for j in range(shards) if flow[i][j]), key=lambda j: (j != i, j))  # what stays, then what moves
+        ends = np.cumsum([flow[i][j] for j in edges])
+        middle = np.cumsum(size[i]) - size[i] / 2
+        where = np.searchsorted(ends, middle, side="right").clip(max=max(0, len(edges) - 1))
+        target.append(np.array(edges, np.int64)[where] if edges else np.full(len(size[i]), min(i, shards - 1)))
+        for j in edges:
+            filled[j] += int(size[i][target[i] == j].sum())
     _even_out(target, size, filled, capacity)
-    first = np.zeros_like(target)
-    next_slot = [0] * shards
+    first, next_slot = [np.zeros(len(x), np.int64) for x in size], [0] * shards
     for i in range(old):
-        for b in range(blocks):
-            j = int(target[i, b])
-            first[i, b] = next_slot[j]
-            next_slot[j] += int(rows[i, b])
+        for b, (j, n) in enumerate(zip(target[i].tolist(), rows[i].tolist())):
+            first[i][b] = next_slot[j]
+            next_slot[j] += n
     moved = int(sum(size[i][target[i] != i].sum() for i in range(old)))
     least = sum(flow[i][j] for i in range(old) for j in range(shards) if i != j)
-    changed = sorted({int(j) for i in range(old) for j in np.unique(target[i][(size[i] > 0) & (target[i] != i)])} | {i for i in range(old) if ((size[i] > 0) & (target[i] != i)).any()})
-    return Plan(target, first, filled, moved, least, changed)
+    affected = {(i, int(p)) for i in range(old) for p in np.unique(part[i][(size[i] > 0) & (target[i] != i)])}
+    return Plan(size, target, first, part, filled, moved, least, affected)
 
 
-def _even_out(target: np.ndarray, size: np.ndarray, filled: list[int], capacity: list[int]) -> None:
+def _even_out(target: list[np.ndarray], size: list[np.ndarray], filled: list[int], capacity: list[int]) -> None:
     """Hand single blocks from the fullest to the emptiest shard while that brings the two closer together."""
     over = lambda j: filled[j] - capacity[j]
+    old = np.repeat(np.arange(len(size)), [len(x) for x in size])
+    number = np.concatenate([np.arange(len(x)) for x in size])
+    every, to = np.concatenate(size), np.concatenate(target)
     for _ in range(8 * len(filled)):
         high = max(range(len(filled)), key=over)
         low = min(range(len(filled)), key=over)
         gap = over(high) - over(low)
-        i, b = np.nonzero((target == high) & (size > 0))
-        s = size[i, b]
-        fits = s < gap
-        if not fits.any():
-            return
-        pick = np.nonzero(fits)[0][np.argmin(np.abs(2 * s[fits] - gap))]
-        target[i[pick], b[pick]] = low
-        filled[high] -= int(s[pick])
-        filled[low] += int(s[pick])
-
-
-def assigned(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", shards: int = SHARDS, old_shards: int = OLD_SHARDS, blocks: int = BLOCKS) -> tuple[DataFrame, Plan]:
-    """Rows (id, text, size, checksum, old shard, block, new shard) and the plan; rows lie in old shards by source."""
+        pick = np.nonzero((to == high) & (every > 0) & (every < gap))[0]
+        if not len(pick):
+            break
+        k = pick[np.argmin(np.abs(2 * every[pick] - gap))]
+        to[k] = low
+        filled[high] -= int(every[k])
+        filled[low] += int(every[k])
+    for i in range(len(size)):
+        target[i][number[old == i]] = to[old == i]
+
+
+def laid_out(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", old_shards: int = OLD_SHARDS, blocks: int = BLOCKS) -> tuple[DataFrame, list[np.ndarray], list[np.ndarray]]:
+    """Rows (id, text, size, checksum, old, block), and the sizes and counts of all blocks; a row's old shard is its source's."""
     text = df[text_column].cast("string")
     known = F.coalesce(text, F.lit(""))
-    rows = df.select(
-        F.col(id_column),
-        text.alias("_text"),
-        (F.octet_length(known).cast("bigint") + OVERHEAD).alias("size"),
-        F.crc32(F.encode(known, "UTF-8")).alias("text_crc32"),
-        F.pmod(F.xxhash64(df[source_column]), F.lit(old_shards)).cast("int").alias("_old"),
-        F.pmod(F.xxhash64(F.col(id_column), F.lit(3)), F.lit(blocks)).cast("int").alias("_block"),
-    )
-    table = rows.groupBy("_old", "_block").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    size, count = np.zeros((old_shards, blocks), np.int64), np.zeros((old_shards, blocks), np.int64)
-    for r in table.toLocalIterator():  # at most old_shards * blocks rows
-        size[r["_old"], r["_block"]], count[r["_old"], r["_block"]] = r["size"], r["n"]
-    plan = plan_blocks(size, count, shards)
-    spark = df.sparkSession
-    lookup = spark.createDataFrame([(i, b, int(plan.target[i, b]), int(plan.first[i, b])) for i in range(old_shards) for b in range(blocks) if count[i, b]], "_old int, _block int, shard int, _first long")
-    return rows.join(F.broadcast(lookup), ["_old", "_block"]), plan  # a row for each block: bounded
-
-
-def reshard(df: DataFrame, out: str | None = None, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", shards: int = SHARDS, changed_only: bool = False) -> tuple[DataFrame, Plan, str]:
-    """Write shards as Parquet below `out`; the frame of the stored rows, the plan and the path.
-
-    With changed_only, shards that the plan leaves as they are stay where they lie and are not written. Otherwise all
-    are, as when a table is laid out for the first time.
-    """
+    old = F.pmod(F.xxhash64(df[source_column]), F.lit(old_shards)).cast("int")
+    size = F.octet_length(known).cast("bigint") + OVERHEAD
+    totals = dict(df.select(old.alias("old"), size.alias("size")).groupBy("old").agg(F.sum("size")).collect())  # a row for each old shard
+    every = max(1, sum(totals.values()))
+    count = [max(1, blocks * totals.get(i, 0) // every) for i in range(old_shards)]
+    block = F.pmod(F.xxhash64(df[id_column], F.lit(3)), F.element_at(F.array(*map(F.lit, count)), old + 1)).cast("int")
+    rows = df.select(df[id_column].alias("id"), text.alias("text"), size.alias("size"), F.crc32(F.encode(known, "UTF-8")).alias("crc"), old.alias("old"), block.alias("block"))
+    sizes, counts = [np.zeros(n, np.int64) for n in count], [np.zeros(n, np.int64) for n in count]
+    for r in rows.groupBy("old", "block").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).toLocalIterator():  # at most blocks + old_shards rows
+        sizes[r["old"]][r["block"]], counts[r["old"]][r["block"]] = r["size"], r["n"]
+    return rows, sizes, counts
+
+
+def _lookup(spark, sizes: list[np.ndarray], **columns: list[np.ndarray]) -> DataFrame:
+    """(old, block, and the given numbers), a row for each block: bounded, so it may be broadcast."""
+    rows = [(i, b, *(int(c[i][b]) for c in columns.values())) for i, size in enumerate(sizes) for b in np.nonzero(size)[0].tolist()]
+    return F.broadcast(spark.createDataFrame(rows, "old int, block int" + "".join(f", {c} long" for c in columns)))
+
+
+def _part_bytes(df: DataFrame, sizes: list[np.ndarray]) -> int:
+    share = sum(int(x.sum()) for x in sizes) // int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(PART_BYTES, max(LEAST_PART, share))
+
+
+def store_shards(rows: DataFrame, sizes: list[np.ndarray], path: str, part_bytes: int) -> None:
+    """The old shards: path/old=i/part=p, a file of consecutive blocks each, sorted by block and place."""
+    part = [parts_of(x, part_bytes) for x in sizes]
+    number = sum(len(np.unique(p[x > 0])) for p, x in zip(part, sizes))
+    dealt = rows.join(_lookup(rows.sparkSession, sizes, part=part), ["old", "block"]).repartition(max(1, number), "old", "part")
+    own = Window.partitionBy("old", "part", "block").orderBy("id", "size", "crc")
+    numbered = dealt.withColumn("place", F.row_number().over(own).cast("long") - 1)
+    numbered.select("id", "text", "block", "place", "old", "part").write.partitionBy("old", "part").option("compression", "zstd").parquet(path)
+
+
+def reshard(df: DataFrame, out: str | None = None, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", shards: int = SHARDS, old_shards: int = OLD_SHARDS) -> tuple[DataFrame, Plan, str]:
+    """Store the old shards below `out`, move what the plan moves; the frame of the stored rows, the plan and the path."""
     spark = df.sparkSession
-    rows, plan = assigned(df, id_column, text_column, source_column, shards)
-    if changed_only:
-        rows = rows.where(F.col("shard").isin(plan.changed))
-    parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)
-    dealt = rows.withColumn("_part", F.pmod("_block", F.lit(parts))).repartition("shard", "_part")  # few files of a shard
-    own = Window.partitionBy("shard", "_part", "_old", "_block").orderBy(F.col(id_column), "size", "text_crc32")
-    numbered = dealt.withColumn("slot", F.col("_first") + F.row_number().over(own) - 1)
     out = out or scratch_path(spark, "shards")
-    numbered.select(id_column, F.col("_text").alias("text"), "shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(out)
-    stored = spark.read.schema(f"`{id_column}` {df.schema[id_column].dataType.simpleString()}, text string, slot long, shard int").parquet(out)
-    return stored, plan, out
+    rows, sizes, counts = laid_out(df, id_column, text_column, source_column, old_shards)
+    part_bytes = _part_bytes(df, sizes)
+    kind = df.schema[id_column].dataType.simpleString()
+    if not sum(int(x.sum()) for x in sizes):
+        plan = plan_blocks(sizes, counts, shards, part_bytes)
+        return spark.createDataFrame([], f"`{id_column}` {kind}, text string, shard int, slot long"), plan, out
+    store_shards(rows, sizes, f"{out}/old", part_bytes)
+    return *move(spark, out, sizes, counts, kind, id_column, shards, part_bytes), out
+
+
+def move(spark, out: str, sizes: list[np.ndarray], counts: list[np.ndarray], kind: str, id_column: str, shards: int, part_bytes: int) -> tuple[DataFrame, Plan]:
+    """Rewrite the affected files of the old shards below `out`; (id, text, shard, slot) of all rows as they then lie."""
+    plan = plan_blocks(sizes, counts, shards, part_bytes)
+    where = _lookup(spark, sizes, shard=plan.target, first=plan.first)
+    stay = [f"{out}/old/old={i}/part={p}" for i, x in enumerate(plan.part) for p in np.unique(x[sizes[i] > 0]).tolist() if (i, p) not in plan.affected]
+    gone = [f"{out}/old/old={i}/part={p}" for i, p in sorted(plan.affected)]
+    stored = []
+    if gone:
+        read = spark.read.option("basePath", f"{out}/old").schema(f"id {kind}, text string, block int, place long, old int, part long").parquet(*gone)
+        moved = read.join(where, ["old", "block"]).select("id", "text", "old", "block", "place", "shard")
+        moved.write.partitionBy("shard").option("compression", "zstd").parquet(f"{out}/new")  # from file to file, without a shuffle
+        for path in gone:
+            drop_path(spark, path)
+        stored.append(spark.read.schema(f"id {kind}, text string, old int, block int, place long, shard int").parquet(f"{out}/new").drop("shard"))
+    if stay:
+        read = spark.read.option("basePath", f"{out}/old").schema(f"id {kind}, text string, block int, place long, old int, part long").parquet(*stay)
+        stored.append(read.select("id", "text", "old", "block", "place"))
+    rows = reduce(DataFrame.unionByName, stored).join(where, ["old", "block"])
+    return rows.select(F.col("id").alias(id_column), "text", F.col("shard").cast("int").alias("shard"), (F.col("first") + F.col("place")).alias("slot")), plan
 
 
 def read_back(stored: DataFrame, id_column: str = "doc_id") -> DataFrame:
