@@ -265,7 +265,7 @@ BIT_SHARE = math.acos(2 * 0.8 / 1.8) / math.pi
 RECALL = 0.92
 LEAF = 4096
 #: Pairs of rows that are looked at in one go.
-PAIRS = 500_000
+PAIRS = 200_000
 #: Rows of a bucket of table values; they are not all compared.
 TABLE_BUCKET_ROWS = 200_000
 #: Bins, in words of 64, that bound the similarity of open candidates.
@@ -324,10 +324,14 @@ def bins(hashes: bytes) -> list[int]:
     return np.packbits(seen).view(np.int64).tolist()
 
 
-def at_most(held: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def at_most(held: list[np.ndarray], size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """A bound of the similarity of rows i and j: hashes in bins that the other set doesn't reach are in one set only."""
-    a, b = held[i], held[j]
-    both = np.minimum(size[i] - popcount(a & ~b).sum(1, dtype=np.int64), size[j] - popcount(b & ~a).sum(1, dtype=np.int64))
+    only_i, only_j = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+    for word in held:
+        a, b = word[i], word[j]
+        only_i += popcount(a & ~b)
+        only_j += popcount(b & ~a)
+    both = np.minimum(size[i] - only_i, size[j] - only_j)
     return both / np.maximum(size[i] + size[j] - both, 1)
 
 
@@ -342,7 +346,10 @@ def similarity(a: bytes, b: bytes) -> float:
 
 
 def _distance(wide: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return popcount(wide[a] ^ wide[b]).sum(1, dtype=np.int64)
+    out = np.zeros(len(a), np.int64)
+    for k in range(wide.shape[1]):
+        out += popcount(wide[a, k] ^ wide[b, k])
+    return out
 
 
 def leaf_links(wide: np.ndarray, start: np.ndarray, end: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -519,7 +526,7 @@ def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     def still_open(arrays, bucket):
         value, node, component, size, *more = arrays
-        held, wide = (np.stack(x, axis=1).view(np.uint64) for x in (more[:BIN_WORDS], more[BIN_WORDS:]))
+        held, wide = [x.view(np.uint64) for x in more[:BIN_WORDS]], np.stack(more[BIN_WORDS:], axis=1).view(np.uint64)
         for i, j, d in open_pairs(value, wide, component, bucket, radius, most, plan.bits):
             may = at_most(held, size, i, j) >= least - 1e-9
             yield node[i[may]], node[j[may]], d[may]
