@@ -14,8 +14,9 @@ and 26 to the right. The parse is the list of the entries' occurrences.
    gives the smallest document of every string. The answer holds that document for each entry and place.
 3. The chunk lays the answers over its parse, marks the bytes to remove and cuts them out.
 
-Documents are dealt to chunks by a hash of their id, and a chunk's texts are shuffled once. A string of which a third
-of all documents is made reaches its bucket once from each chunk. Nothing is broadcast or collected.
+Documents are dealt to chunks by a hash of their id and text, and a chunk's texts are shuffled once. A string of which a
+third of all documents is made reaches its bucket once from each chunk. Rows without id go past all this. Nothing is
+broadcast or collected.
 
 Defined results: a null text is empty; texts under 50 bytes are kept; of equal texts the smallest id stays; rows of one
 id don't remove each other; a row without id is kept whole and removes nothing; an empty table gives no rows; no input
@@ -42,6 +43,8 @@ SIDE = LENGTH - TRIGGER  # bytes on either side of a trigger that its strings ca
 PLACES = SIDE + 1
 ENTRY = LENGTH + SIDE
 CHUNK_INPUT = 4 << 20
+LARGEST_CHUNK = 64 << 20
+CHUNKS = 1 << 21
 BUCKET_INPUT = 8 << 20
 SLICE = 1_500_000
 LOW = np.uint64((1 << 24) - 1)
@@ -122,7 +125,7 @@ def scan(raw: np.ndarray, offsets: np.ndarray):
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(40)).astype(np.int64) % buckets
+    return ((h * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(32)).astype(np.int64) % buckets
 
 
 def _six(values: np.ndarray) -> bytes:
@@ -350,11 +353,16 @@ MESSAGE = "chunk long, bucket long, payload binary, n long"
 
 
 def _sizes(df: DataFrame) -> tuple[int, int]:
-    """Numbers of chunks and buckets, in proportion to the size of the input that Spark knows of."""
+    """Numbers of chunks and buckets, in proportion to the size of the input that Spark knows of.
+
+    Chunks grow from CHUNK_INPUT to LARGEST_CHUNK as there would be more than CHUNKS of them: a string that all chunks
+    hold reaches its bucket once from each.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = min(size, 1 << 50)
-    return max(least, size // CHUNK_INPUT), min(1 << 16, max(least, size // BUCKET_INPUT))
+    chunk = min(LARGEST_CHUNK, max(CHUNK_INPUT, size // CHUNKS))
+    return max(least, size // chunk), max(least, size // BUCKET_INPUT)
 
 
 def _messages(rows: list[tuple]) -> pa.Table:
@@ -382,8 +390,8 @@ def _spans(df: DataFrame, id_column: str, text_column: str, finish, schema: T.St
     `more` are columns that go along with the texts, as columns 3 and on of the chunk's table.
     """
     chunks, buckets = _sizes(df.select(id_column, text_column))
-    docs = df.select(
-        F.pmod(F.xxhash64(F.col(id_column)), F.lit(chunks)).alias("chunk"),
+    docs = df.where(F.col(id_column).isNotNull()).select(
+        F.pmod(F.xxhash64(F.col(id_column), text_of(df, text_column)), F.lit(chunks)).alias("chunk"),
         F.col(id_column).cast("bigint").alias("_id"),
         text_of(df, text_column).alias("_text"),
         *more,
@@ -444,7 +452,10 @@ def repeated_spans(df: DataFrame, id_column: str = "doc_id", text_column: str =
         rows = [(i, n, n - len(kept), len(runs), hashlib.sha256(kept).hexdigest()) for i, n, runs, kept in _kept(chunk, a, b)]
         return list(zip(*rows))
 
-    return _spans(df, id_column, text_column, finish, schema)
+    text = text_of(df, text_column)
+    none = F.lit(0).cast("long")
+    unknown = df.where(F.col(id_column).isNull()).select(F.lit(None).cast("long").alias(id_column), F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(F.encode(text, "UTF-8"), 256).alias("kept_sha256"))
+    return _spans(df, id_column, text_column, finish, schema).unionAll(unknown)
 
 
 def without_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -462,4 +473,5 @@ def without_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
     more = (df[text_column].isNull().alias("_null"), *[df[c].alias(f"c{k}") for k, c in enumerate(others)])
     kept = _spans(df, id_column, text_column, finish, schema, more)
-    return kept.select(*[F.col("_kept").alias(c) if c == text_column else F.col(f"c{others.index(c)}").alias(c) for c in df.columns])
+    known = kept.select(*[F.col("_kept").alias(c) if c == text_column else F.col(f"c{others.index(c)}").alias(c) for c in df.columns])
+    return known.unionAll(df.where(F.col(id_column).isNull()))
