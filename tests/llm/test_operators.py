@@ -248,7 +248,7 @@ def test_bound_of_similarity_is_never_too_small():
     held = np.array([simhash.bins(s.tobytes()) for s in sets]).view(np.uint64)
     i, j = map(np.array, zip(*itertools.combinations(range(60), 2)))
     exact = np.array([simhash.similarity(sets[a].tobytes(), sets[b].tobytes()) for a, b in zip(i, j)])
-    bound = simhash.at_most(held, np.array([len(s) for s in sets]), i, j)
+    bound = simhash.at_most(list(held.T), np.array([len(s) for s in sets]), i, j)
     assert (bound >= exact - 1e-12).all() and (bound < 0.8).any()
 
 
@@ -613,6 +613,30 @@ def test_spans_are_those_of_all_windows(monkeypatch):
     assert found == pii.find_all(texts, tagger)
 
 
+def test_recall_on_held_out_secrets():
+    """Credentials with and without digits, written-out addresses and phone numbers, in prose of another seed."""
+    import random
+
+    r, source, tagger = random.Random(991), pii.Labelled(4242), pii.trained()
+    some = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    letters, low, digits = string.ascii_letters, string.ascii_lowercase, string.digits
+    kinds = [
+        lambda: f"password={some(letters, r.randint(12, 24))}", lambda: f"api_key={some(low, r.randint(16, 24))}", lambda: f'token: "{some(low, 20)}"', lambda: f"secret={some(letters, 18)}", lambda: f"pwd: {some(low, 14)}", lambda: f"sk-{some(letters, 32)}",
+        lambda: f"api_key={some(letters + digits, 24)}", lambda: f"password={some('0123456789abcdef', 16)}", lambda: f"{some(low, 4)}.{some(low, 5)} [at] {some(low, 6)} [dot] com", lambda: f"{some(low, 6)} (at) {some(low, 6)} dot org", lambda: f"({some(digits, 3)}) {some(digits, 3)}-{some(digits, 4)}",
+    ]
+    for make in kinds:
+        found = 0
+        for _ in range(40):
+            secret, before = make(), " ".join(source._word() for _ in range(r.randint(5, 60)))
+            text = f"{before} {secret} " + " ".join(source._word() for _ in range(r.randint(5, 60)))
+            start, end = len(before) + 1 + (secret.find("=") + 1 or secret.find(": ") + 1), len(before) + 1 + len(secret)
+            base, added = pii.find_all([text], tagger)[0]
+            found += sum(max(0, min(b, end) - max(a, start)) for a, b, _ in base + added) >= 0.9 * (end - start)
+        assert found >= 36, make()
+    plain = [" ".join(source._word() for _ in range(200)) for _ in range(60)]
+    assert sum(bool(added) for _, added in pii.find_all(plain, tagger)) == 0
+
+
 def test_tagger_on_held_out_windows(odd, none):
     tagger, source = pii.trained(), pii.Labelled(12345)
     windows = [source.window() for _ in range(300)]
