@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -13,6 +15,28 @@ from pyspark.sql import functions as F
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are used again for other tasks, and their heaps would only grow."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
+
+
+def returning(run):
+    """The worker function `run` (over batches) with give_back() at its end."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 

@@ -17,22 +17,34 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     collected: a step is a minimum by key, which is summed up before the shuffle, and a join whose large keys can be
     split. Each round is written to the checkpoint folder; only one row of counts comes to the driver.
     """
-    e = cut(edges.where(F.col(u) != F.col(v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
-    state = _state(e)
-    while state[0]:
+    return labels(contracted(edges.select(F.col(u).alias("u"), F.col(v).alias("v"))))
+
+
+def contracted(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Edges (u, v), v < u, that connect what the given ones connect, after so many rounds; without a number, until all are stars."""
+    e = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state, done = _state(e) if rounds is None else (1,), 0
+    while state[0] and done != rounds:
+        done += 1
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        following = cut(rest.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
-        now = _state(following)
-        e = following
-        if now == state:
-            break
-        state = now
-    roots = e.select(F.col("v").alias("node")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots.select("node", F.col("node").alias("component")))
+        e = cut(rest.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        if rounds is None:
+            now = _state(e)
+            if now == state:
+                break
+            state = now
+    return e
+
+
+def labels(e: DataFrame) -> DataFrame:
+    """(node, component) of contracted edges: nodes of one component are connected; of stars, all that are."""
+    own = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    roots = e.select(F.col("v").alias("node")).distinct().join(own, "node", "left_anti")
+    return own.unionAll(roots.select("node", F.col("node").alias("component")))
 
 
 def _state(e: DataFrame) -> tuple:

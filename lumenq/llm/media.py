@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenq.llm.common import cut, scratch_path, text_of, utf8_rows
+from lumenq.llm.common import cut, returning, scratch_path, text_of, utf8_rows
 
 UNIT = 576
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -153,7 +153,7 @@ def store(df: DataFrame, folder: str, id_column: str = "doc_id", text_column: st
         writer.close()
 
     schema = T.StructType([T.StructField(id_column, kind), *[T.StructField(n, t) for n, t in STORED]])
-    return cut(df.select(F.col(id_column), text_of(df, text_column).alias("_text")).mapInArrow(run, schema))
+    return cut(df.select(F.col(id_column), text_of(df, text_column).alias("_text")).mapInArrow(returning(run), schema))
 
 
 def catalog(stored: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def probe(places: DataFrame, folder: str) -> DataFrame:
             columns = list(zip(*found)) if found else [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns]], names=["digest", "width", "height", "depth"])
 
-    return _by_shard(places).mapInArrow(run, "digest binary, width long, height long, depth long")
+    return _by_shard(places).mapInArrow(returning(run), "digest binary, width long, height long, depth long")
 
 
 def read_payloads(places: DataFrame, folder: str) -> DataFrame:
@@ -209,7 +209,7 @@ def read_payloads(places: DataFrame, folder: str) -> DataFrame:
             columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types)]], names=["digest", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return _by_shard(places).mapInArrow(run, "digest binary, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string")
+    return _by_shard(places).mapInArrow(returning(run), "digest binary, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string")
 
 
 def media_columns(df: DataFrame, folder: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

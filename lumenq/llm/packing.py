@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenq.llm.bpe import load
-from lumenq.llm.common import text_of
+from lumenq.llm.common import returning, text_of
 from lumenq.llm.tokenizing import default_path, encoded_chunks
 
 WINDOW = 1024
@@ -198,7 +198,7 @@ def pack(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", pa
 
     id_type = to_arrow_type(kind)
     schema = T.StructType([T.StructField(id_column, kind), *[T.StructField(n, T.LongType()) for n in names[1:7]], *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * carry_ids])
-    return df.select(F.col(id_column), text_of(df, text_column).alias("_text")).mapInArrow(run, schema)
+    return df.select(F.col(id_column), text_of(df, text_column).alias("_text")).mapInArrow(returning(run), schema)
 
 
 def padding(pieces: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenq.llm.common import cut, text_of, utf8_rows
+from lumenq.llm.common import cut, returning, text_of, utf8_rows
 
 LABELLED_ROWS = 6000
 SPLIT = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(128)) + bytes(range(128, 256))
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> Mode
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.float64())), pa.array([f[1] for f in found], pa.list_(pa.int64())), batch.column(2), batch.column(3)], names=["_id", "shape", "words", "quality", "toxic"])
 
     schema = "_id long, shape array<double>, words array<bigint>, quality int, toxic int"
-    sample = rows.select("_id", "_text", F.col("quality").cast("int"), F.coalesce("toxic", F.lit(0)).cast("int").alias("toxic")).mapInArrow(run, schema).toArrow()
+    sample = rows.select("_id", "_text", F.col("quality").cast("int"), F.coalesce("toxic", F.lit(0)).cast("int").alias("toxic")).mapInArrow(returning(run), schema).toArrow()
     sample = sample.sort_by([("_id", "ascending")])
     shapes = np.array(sample.column("shape").to_pylist(), float).reshape(-1, SHAPES)
     return fit(shapes, sample.column("words").to_pylist(), sample.column("quality").to_numpy().astype(float), sample.column("toxic").to_numpy().astype(float))
@@ -163,7 +163,7 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
                 t.append(y)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(np.concatenate(q)), pa.array(np.concatenate(t))], names=["_id", "host", "path", "q", "t"])
 
-    return docs.select("_id", "_text", "host", "path").mapInArrow(run, "_id long, host string, path string, q double, t double")
+    return docs.select("_id", "_text", "host", "path").mapInArrow(returning(run), "_id long, host string, path string, q double, t double")
 
 
 def _strength(groups: DataFrame, mean: Column, n: Column, above: Column) -> tuple[float, float]:

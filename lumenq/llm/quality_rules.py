@@ -70,7 +70,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _repeated(words: Column) -> Column:
-    """The number of words that lie in a window of five which occurs twice or more in the text."""
+    """The number of words that lie in a window of five which occurs twice or more in the text.
+
+    Windows stand by their hashes; neighbours of one hash are compared by their words.
+    """
     n = F.size(words)
 
     def covered(starts: Column) -> Column:
@@ -80,7 +83,7 @@ def _repeated(words: Column) -> Column:
     def twice(sorted_grams: Column) -> Column:
         def same(x: Column, j: Column) -> Column:
             def like(y: Column) -> Column:
-                return (y["h"] == x["h"]) & (y["g"] == x["g"])
+                return (y["h"] == x["h"]) & (F.slice(words, y["i"] + 1, GRAM) == F.slice(words, x["i"] + 1, GRAM))
 
             before = F.when(j > 0, like(sorted_grams[j - 1])).otherwise(F.lit(False))
             after = F.when(j + 1 < F.size(sorted_grams), like(sorted_grams[j + 1])).otherwise(F.lit(False))
@@ -89,8 +92,7 @@ def _repeated(words: Column) -> Column:
         return let(F.sort_array(F.transform(F.filter(sorted_grams, same), lambda x: x["i"])), covered)
 
     def of(grams: Column) -> Column:
-        # windows of one hash stand by their words, so that each lies next to those that are really equal
-        pairs = F.transform(grams, lambda h, i: F.struct(h.alias("h"), F.slice(words, i + 1, GRAM).alias("g"), i.alias("i")))
+        pairs = F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
         return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(let(F.sort_array(pairs), twice))
 
     grams = F.transform(F.sequence(F.lit(0), n - GRAM), lambda i: F.xxhash64(*[words[i + k] for k in range(GRAM)]))

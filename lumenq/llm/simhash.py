@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lumenq.llm.common import cut, text_of, utf8_rows
-from lumenq.llm.components import connected_components, local_components
+from lumenq.llm.common import cut, returning, text_of, utf8_rows
+from lumenq.llm.components import connected_components, contracted, labels, local_components
 
 BITS = 64
 BUCKET_ROWS = 20_000
@@ -75,7 +75,7 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=[id_column, "fp"])
 
     schema = T.StructType([T.StructField(id_column, kind), T.StructField("fp", T.LongType())])
-    return df.select(F.col(id_column), text_of(df, text_column).alias("_text")).mapInArrow(run, schema)
+    return df.select(F.col(id_column), text_of(df, text_column).alias("_text")).mapInArrow(returning(run), schema)
 
 
 # ---- the trie ----------------------------------------------------------------------------------------------------
@@ -172,10 +172,11 @@ def bucket_rows(nodes: DataFrame, radius: int, most: int = BUCKET_ROWS, bits: in
     rows = deal(nodes, F.array(*[_key(F.col("fp"), F.lit(t), b) for t, b in fixed.items()]))
     keys, done = [*apart, "t", "k"], None
     for _ in range(2):
-        crowded = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*keys))
+        crowded = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*keys)
         n = crowded.count()
         if not n:
             break
+        crowded = cut(crowded)
         if n <= BROADCAST_KEYS:
             crowded = F.broadcast(crowded)  # of a size that was checked; more of them are joined by a shuffle
         calm = rows.join(crowded, keys, "left_anti").select("t", "k", *own)
@@ -226,7 +227,7 @@ def whole_buckets(rows: DataFrame, keys: list[str], order: list, columns: list[s
             arrays, change = work(held)
             yield from several(body(arrays[width:], np.cumsum(change)))
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(returning(run), schema)
 
 
 def trie_join(nodes: DataFrame, radius: int) -> DataFrame:
@@ -265,11 +266,13 @@ BIT_SHARE = math.acos(2 * 0.8 / 1.8) / math.pi
 RECALL = 0.92
 LEAF = 4096
 #: Pairs of rows that are looked at in one go.
-PAIRS = 200_000
+PAIRS = 100_000
 #: Rows of a bucket of table values; they are not all compared.
 TABLE_BUCKET_ROWS = 200_000
 #: Bins, in words of 64, that bound the similarity of open candidates.
 BIN_WORDS = 16
+#: Rounds of the search for components between the steps of comparison.
+PARTIAL_ROUNDS = 2
 #: Open candidates of a node in a bucket that are compared before all others are.
 NEAREST = 4
 
@@ -372,7 +375,9 @@ def leaf_links(wide: np.ndarray, start: np.ndarray, end: np.ndarray, most: int)
             rows = np.arange(a, b)
             for c in range(a, b, 512):
                 part = np.arange(c, min(b, c + 512))
-                d = popcount(wide[part][:, None] ^ wide[a:b][None]).sum(2, dtype=np.int64)
+                d = np.zeros((len(part), b - a), np.int32)
+                for k in range(wide.shape[1]):
+                    d += popcount(wide[part, k][:, None] ^ wide[a:b, k][None])
                 for side in (rows[None] < part[:, None], rows[None] > part[:, None]):
                     own = np.where(side, d, 1 << 30)
                     j = own.argmin(1)
@@ -477,7 +482,7 @@ def _hashed(rows: DataFrame, keys: list[T.StructField], width: int, body, more:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, more)]], names=schema.names)
 
     schema = T.StructType([*keys, *more])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(returning(run), schema)
 
 
 def _keyed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -558,9 +563,10 @@ def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     def compare(batches):
         for rows in batches:
-            u, v, a, b = rows.columns
-            keep = pa.array([similarity(x, y) >= least for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(keep)
+            for at in range(0, rows.num_rows, 256):
+                u, v, a, b = rows.slice(at, 256).columns
+                keep = pa.array([similarity(x, y) >= least for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+                yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(keep)
 
     def verified(found: DataFrame) -> DataFrame:
         one = found.join(pieces.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u")
@@ -568,12 +574,13 @@ def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
         return two.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
     seen = cut(pairs(links))
-    groups = connected_components(verified(seen))
-    for body in (nearest_open, all_open):
-        rows = counted.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    held = contracted(verified(seen), PARTIAL_ROUNDS)  # while groups are in parts, more pairs are open
+    for body, rounds in ((nearest_open, PARTIAL_ROUNDS), (all_open, None)):
+        rows = counted.join(labels(held), "node", "left").withColumn("component", F.coalesce("component", "node"))
         found = cut(pairs(dealt(rows, ["component", "n", *binned], body, "u long, v long, d long")).join(seen, ["u", "v"], "left_anti"))
         seen = seen.unionAll(found)
-        groups = connected_components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(verified(found)))
+        held = contracted(held.unionAll(verified(found)), rounds)
+    groups = labels(held)
     smallest = groups.join(some.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
     of_node = nodes.join(groups.join(smallest, "component").select("node", "least"), "node", "left")
     return docs.join(of_node.select("same", *words, F.coalesce("least", "first").alias("first")), ["same", *words]).select("id", "row", "first")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenq.llm.bpe import load
-from lumenq.llm.common import chunks_of, text_of, utf8_rows
+from lumenq.llm.common import chunks_of, returning, text_of, utf8_rows
 
 CHUNK_BYTES = 2_000_000
 
@@ -50,7 +50,7 @@ def bpe_encode(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=[id_column, "ids"])
 
     schema = T.StructType([T.StructField(id_column, df.schema[id_column].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return df.select(F.col(id_column), text_of(df, text_column).alias("_text")).mapInArrow(run, schema)
+    return df.select(F.col(id_column), text_of(df, text_column).alias("_text")).mapInArrow(returning(run), schema)
 
 
 def bpe_decode(df: DataFrame, id_column: str = "doc_id", ids_column: str = "ids", path: str | None = None) -> DataFrame:
@@ -70,7 +70,7 @@ def bpe_decode(df: DataFrame, id_column: str = "doc_id", ids_column: str = "ids"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_column, "text"])
 
     schema = T.StructType([T.StructField(id_column, df.schema[id_column].dataType), T.StructField("text", T.StringType())])
-    return df.select(id_column, ids_column).mapInArrow(run, schema)
+    return df.select(id_column, ids_column).mapInArrow(returning(run), schema)
 
 
 def bpe_round_trip(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None) -> DataFrame:
@@ -96,4 +96,4 @@ def bpe_round_trip(df: DataFrame, id_column: str = "doc_id", text_column: str =
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = T.StructType([T.StructField(id_column, df.schema[id_column].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return df.select(F.col(id_column), text_of(df, text_column).alias("_text")).mapInArrow(run, schema)
+    return df.select(F.col(id_column), text_of(df, text_column).alias("_text")).mapInArrow(returning(run), schema)
