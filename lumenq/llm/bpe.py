@@ -25,6 +25,8 @@ LETTER, NUMBER, SPACE, OTHER = 1, 2, 0, 3
 #: their bytes, others by a hash, after which their bytes are compared.
 SHARED_LENGTH = 128
 EXACT = 7
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(EXACT + 1)], np.uint64)
+COUNTED = np.arange(EXACT + 1, dtype=np.uint64) << np.uint64(56)
 KEPT_PIECES = 300_000
 
 
@@ -277,9 +279,10 @@ class ByteBpe:
         shown = where[code]
         hashed = np.nonzero((size > EXACT) & ~alone & (shown != np.arange(len(shown))))[0]
         alone[hashed] = ~alike(raw, first[hashed], size[hashed], raw, first[shown[hashed]], size[shown[hashed]])
-        starts, lengths = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
-        kept = np.nonzero(~alone)[0]
-        starts[kept], lengths[kept] = self.piece_start[slot[kept]], self.piece_length[slot[kept]]
+        if len(self.piece_length):
+            starts, lengths = self.piece_start[slot], self.piece_length[slot]
+        else:  # all are alone
+            starts, lengths = np.zeros(len(slot), np.int64), np.zeros(len(slot), np.int64)
         own = np.nonzero(alone)[0]
         store = self.piece_ids
         if len(own):
@@ -302,12 +305,13 @@ class ByteBpe:
             self._powers(1 << int(len(raw)).bit_length())
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw + np.uint64(1)) * self.up[: len(raw)], out=sums[1:])
-        key = ((sums[first + size] - sums[first]) * self.down[first]) >> np.uint64(8)
-        key |= np.uint64(255 << 56)
-        short = np.nonzero(size <= EXACT)[0]
+        key = np.empty(len(first), np.uint64)
+        short = size <= EXACT
+        at = first[~short]
+        key[~short] = (((sums[at + size[~short]] - sums[at]) * self.down[at]) >> np.uint64(8)) | np.uint64(255 << 56)
         eight = np.ndarray((len(raw),), "<u8", np.append(raw, np.zeros(8, np.uint8)), strides=(1,))  # from each byte on
-        n = size[short].astype(np.uint64)
-        key[short] = (eight[first[short]] & ((np.uint64(1) << (n << np.uint64(3))) - np.uint64(1))) | n << np.uint64(56)
+        n = size[short]
+        key[short] = (eight[first[short]] & FIRST_BYTES[n]) | COUNTED[n]
         return key
 
     def _slots(self, distinct: np.ndarray, first: np.ndarray, size: np.ndarray, raw: np.ndarray) -> np.ndarray:
