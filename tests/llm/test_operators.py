@@ -535,6 +535,27 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_naive_bayes_by_brute_force(spark):
+    """block_odds of all pages from counts made in plain Python; the segmenter alone is shared."""
+    pages = [(r["page_id"], r["url"]) for r in rows(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))] + [(10**6 + i, u) for i, u in URLS]
+    parsed, seen = [], collections.Counter()
+    for _, u in pages:
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "")
+        host, path = (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")
+        parsed.append((host, path))
+        for part in [x for x in host.split(".") if "-" in x] + [path.lower()]:
+            seen.update(re.findall(r"[^\W\d_]+", part))
+    segmenter = url_filter.Segmenter(dict(seen))
+    words = [[w for part in segmenter.words(*x) for w in part] for x in parsed]
+    bad = [not set(url_filter.SEEDS).isdisjoint(segmenter.words(*x)[0]) for x in parsed]
+    allow, block = (collections.Counter(w for own, b in zip(words, bad) if b == kind for w in own) for kind in (False, True))
+    size = len({*allow, *block}) + 1
+    odds = {w: math.log((block[w] + 1) / (sum(block.values()) + size)) - math.log((allow[w] + 1) / (sum(allow.values()) + size)) for w in {*allow, *block}}
+    prior = math.log((sum(bad) + 1) / (len(bad) - sum(bad) + 2))
+    got = collections.Counter((r["page_id"], round(r["block_odds"], 4)) for r in rows(url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"))))
+    assert sum(bad) > 5 and got == collections.Counter((i, round(prior + sum(odds[w] for w in own), 4)) for (i, _), own in zip(pages, words))
+
+
 def test_rare_words_of_urls_count(spark):
     g = np.random.default_rng(11)
     names = ["".join(chr(97 + x) for x in g.integers(0, 26, 6)) for _ in range(40)]
