@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumenq.llm.common import chunks_of, ragged_gather, text_of, utf8_rows
+from lumenq.llm.common import chunks_of, give_back, ragged_gather, text_of, utf8_rows
 
 LENGTH = 50
 TRIGGER = 24
@@ -375,7 +375,9 @@ def _answered(messages: DataFrame, answer) -> DataFrame:
         chunk, bucket, payload, n = (table.column(k).to_pylist() for k in range(4))
         order = sorted(range(len(chunk)), key=chunk.__getitem__)
         replies = answer([payload[i] for i in order], [n[i] for i in order])
-        return _messages([(chunk[i], bucket[i], r, n[i]) for i, r in zip(order, replies)])
+        out = _messages([(chunk[i], bucket[i], r, n[i]) for i, r in zip(order, replies)])
+        give_back()
+        return out
 
     return messages.groupBy("bucket").applyInArrow(run, MESSAGE)
 
@@ -400,7 +402,10 @@ def _spans(df: DataFrame, id_column: str, text_column: str, finish, schema: T.St
 
     def first(table: pa.Table) -> pa.Table:
         chunk, number = Chunk(table, buckets), table.column(0)[0].as_py()
-        return _messages([(number, b, x, n) for b, x, n in send_hashes(chunk)])
+        out = _messages([(number, b, x, n) for b, x, n in send_hashes(chunk)])
+        del chunk
+        give_back()
+        return out
 
     hashes = _answered(grouped.applyInArrow(first, MESSAGE), answer_hashes)
 
@@ -409,7 +414,10 @@ def _spans(df: DataFrame, id_column: str, text_column: str, finish, schema: T.St
             return _messages([])
         chunk, number = Chunk(table, buckets), table.column(0)[0].as_py()
         index = repeated_triggers(chunk, _by_bucket(replies))
-        return _messages([(number, b, x, n) for b, x, n in send_entries(chunk, index)])
+        out = _messages([(number, b, x, n) for b, x, n in send_entries(chunk, index)])
+        del chunk, index
+        give_back()
+        return out
 
     found = _answered(grouped.cogroup(hashes.groupBy("chunk")).applyInArrow(second, MESSAGE), answer_entries)
     both = hashes.select("chunk", F.lit(0).alias("step"), "bucket", "payload").unionAll(found.select("chunk", F.lit(1), "bucket", "payload"))
@@ -424,6 +432,8 @@ def _spans(df: DataFrame, id_column: str, text_column: str, finish, schema: T.St
         index = repeated_triggers(chunk, _by_bucket(replies.filter(pa.array(step == 0))))
         marks = string_marks(chunk, index, _by_bucket(replies.filter(pa.array(step == 1))))
         columns = finish(chunk, *removed_runs(marks, chunk.offsets))
+        del chunk, index, marks
+        give_back()
         return pa.table([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, arrow)], names=arrow.names)
 
     return grouped.cogroup(both.groupBy("chunk")).applyInArrow(third, schema)
