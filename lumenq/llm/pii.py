@@ -5,11 +5,10 @@ tags characters with B and I of each kind and O; it adds spans that touch no bas
 otherwise, and keys (credentials). It is trained on labelled spans which a seeded generator puts into pseudo-prose, on
 the driver, once in a process; its weights (some thousand numbers) go along with the task.
 
-A text is cut into windows of WINDOW characters at steps of half of that. Windows overlap, and each decides on the
-characters nearest to its own middle; the tags of the whole text are joined before spans are read from them, so spans
-may cross windows. A span must hold a digit or an at-sign, an e-mail address else a written-out at and dot, a key else
-the name of a credential. Windows that cover such a place are run first, then their neighbours as far as the spans found
-reach, so that spans are the same as if all windows were run.
+A text is cut into windows of WINDOW characters at steps of half of that, and all of them are decoded. Windows overlap,
+and each decides on the characters nearest to its own middle; the tags of the whole text are joined before spans are read
+from them, so spans may cross windows. A check of the spans follows: one must hold a digit or an at-sign, an e-mail
+address else a written-out at and dot, a key else the name of a credential.
 
 Defined results: a null text is empty and has no spans; repeated rows repeat theirs; overlapping spans of different
 base kinds are all kept; an empty table gives no rows; no input columns are carried along by `find`, all by `redact`.
@@ -22,7 +21,6 @@ import hashlib
 import random
 import re
 import string
-from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +35,8 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "key")
 WINDOW = 96
 STEP = WINDOW // 2
+PIECE = 1 << 20  #: characters that are worked on together, and of a longer text are numbered at once
+LEAST = 6  #: characters of an added span
 TRIGGER = re.compile(r"[0-9@]")
 #: What a span without a digit or at-sign must hold; a host name has at most 253 characters.
 WRITTEN = {
@@ -296,22 +296,75 @@ class Tagger:
         np.add.at(pair, (tags[:, :-1], tags[:, 1:]), -1.0)
         return float((z - score).mean()), (unary / n).astype(np.float32), (pair / n).astype(np.float32)
 
+    def emissions(self, blocks: np.ndarray, apart: int = 1) -> np.ndarray:
+        """forward() without what training needs, as (WINDOW, tags, windows). Window j is blocks apart * j and the one behind it."""
+        p, (m, t) = self.p, blocks.shape
+        n, span = (m - 2) // apart + 1, apart * ((m - 2) // apart) + 1
+        # sigmoid(x) is tanh(x / 2) / 2 + 1 / 2; h is kept doubled
+        half = np.where(np.arange(4 * HIDDEN) < 3 * HIDDEN, 0.5, 1.0)
+        turned = lambda w: np.ascontiguousarray(w.transpose(0, 2, 1), dtype=np.float32)
+        into, out = turned(np.concatenate((0.5 * p["u"], p["w"], p["b"]), axis=1) * half), turned(0.5 * p["o"].reshape(2, HIDDEN, -1))
+        letters = np.take(np.ascontiguousarray(p["e"].T), blocks.T, axis=1)  # (EMBED, t, m)
+        v, z = np.zeros((2, HIDDEN + EMBED + 1, n), np.float32), np.empty((2, 4 * HIDDEN, n), np.float32)
+        c, tc = np.zeros((2, HIDDEN, n), np.float32), np.empty((2, HIDDEN, n), np.float32)
+        v[:, -1] = 1.0
+        h, gates, i, f, o, g = v[:, :HIDDEN], z[:, : 3 * HIDDEN], z[:, :HIDDEN], z[:, HIDDEN : 2 * HIDDEN], z[:, 2 * HIDDEN : 3 * HIDDEN], z[:, 3 * HIDDEN :]
+        emit = np.empty((2, 2 * t, len(TAGS), n), np.float32)
+        for s in range(2 * t):
+            for d, at in ((0, s), (1, 2 * t - 1 - s)):
+                v[d, HIDDEN:-1] = letters[:, at % t, at // t : at // t + span : apart]
+            np.matmul(into, v, out=z)
+            np.tanh(z, out=z)
+            gates += 1.0
+            c *= f
+            g *= i
+            c += g
+            c *= 0.5
+            np.tanh(c, out=tc)
+            np.multiply(o, tc, out=h)
+            np.matmul(out[0], h[0], out=emit[0, s])
+            np.matmul(out[1], h[1], out=emit[1, 2 * t - 1 - s])
+        emit[0] += emit[1]
+        emit[0] += p["c"][:, None]
+        return emit[0]
+
     def decode(self, x: np.ndarray) -> np.ndarray:
-        """The best tags of each window (Viterbi)."""
-        emit, _ = self.forward(x)
-        n, t, k = emit.shape
+        """The best tags of each window."""
+        return self.decode_blocks(x.reshape(-1, STEP), 2)
+
+    def decode_blocks(self, blocks: np.ndarray, apart: int = 1) -> np.ndarray:
+        """The best tags of each window (Viterbi); window j is blocks apart * j and the one behind it."""
+        best = self.emissions(blocks, apart)  # becomes the score of the best path to each tag
+        t, k, n = best.shape
         begin, rules = _rules()
         step = (self.p["a"] + rules).astype(np.float32)
-        best, back = emit[:, 0] + begin, np.empty((n, t, k), np.int8)
+        free = np.array([0, *range(1, k, 2)])  # O and B follow any tag, I its B or I
+        any_, b_i, i_i = np.ascontiguousarray(step[:, free, None]), step[range(1, k, 2), range(2, k, 2)][:, None], step[range(2, k, 2), range(2, k, 2)][:, None]
+        ways = np.empty((k, len(free), n), np.float32)
+        best[0] += begin[:, None].astype(np.float32)
+        plain = best[0, 0].copy()  # the score of O alone
         for s in range(1, t):
-            all_ = best[:, :, None] + step
-            back[:, s] = all_.argmax(1)
-            best = all_.max(1) + emit[:, s]
-        out = np.empty((n, t), np.int8)
-        out[:, -1] = best.argmax(1)
-        rows = np.arange(n)
+            last, now = best[s - 1], best[s]
+            plain += step[0, 0]
+            plain += now[0]
+            np.add(last[:, None], any_, out=ways)
+            top = ways.max(0)
+            now[0] += top[0]
+            now[1::2] += top[1:]
+            now[2::2] += np.maximum(last[1::2] + b_i, last[2::2] + i_i)
+        out = np.zeros((n, t), np.int8)
+        rest = np.flatnonzero(best[-1].max(0) > plain)  # for the others O alone is best
+        if len(rest) < n // 2:
+            best = best[:, :, rest]
+        else:
+            rest = np.arange(n)
+        ways, tags = np.empty((k, len(rest)), np.float32), np.empty((t, len(rest)), np.int8)
+        tags[-1] = now = best[-1].argmax(0)
         for s in range(t - 1, 0, -1):
-            out[:, s - 1] = back[rows, s, out[:, s]]
+            np.take(step, now, axis=1, out=ways, mode="clip")
+            ways += best[s - 1]
+            tags[s - 1] = now = ways.argmax(0)
+        out[rest] = tags.T
         return out
 
 
@@ -348,95 +401,98 @@ def trained(seed: int = 7, steps: int = 360) -> Tagger:
 # ---- whole texts -------------------------------------------------------------------------------------------------
 
 
-def covering(a: int, b: int) -> range:
-    """Where the windows begin that cover a place in [a, b)."""
-    return range(max(0, a // STEP - 1) * STEP, b, STEP)
-
-
-def window_starts(text: str) -> list[int]:
-    """Where windows that cover what a span must hold begin."""
-    out: set[int] = set()
-    for pattern in (TRIGGER, *WRITTEN.values()):
-        for m in pattern.finditer(text):
-            out.update(covering(m.start(), m.start() + 1))
-    return sorted(out)
-
-
-def joined_tags(text: str, starts: list[int], tags: np.ndarray) -> dict[int, int]:
-    """Tag other than O by position: each window decides on the half of it around its middle, the first on its beginning as well."""
-    out = {}
-    for start, own in zip(starts, tags):
-        a = 0 if start == 0 else STEP // 2
-        b = STEP // 2 + STEP
-        if start + WINDOW >= len(text):
-            b = WINDOW
-        for k in np.nonzero(own[a:b])[0].tolist():
-            if start + a + k < len(text):
-                out.setdefault(start + a + k, int(own[a + k]))
-    return out
-
-
-def runs_of(tags: dict[int, int]) -> list[tuple[int, int, str]]:
-    """Neighbouring places of one kind, from a B on."""
-    out, begin, kind, last = [], None, 0, -2
-    for at in [*sorted(tags), None]:
-        tag = tags.get(at, 0) if at is not None else 0
-        now = (tag + 1) // 2
-        if begin is not None and (at is None or at != last + 1 or now != kind or tag % 2):
-            out.append((begin, last + 1, KINDS[kind - 1]))
-            begin = None
-        if at is not None and begin is None:
-            begin, kind = at, now
-        last = at if at is not None else last
-    return out
-
-
-def spans_of(text: str, tags: dict[int, int]) -> list[tuple[int, int, str]]:
+def window_starts(text: str) -> range:
+    """Where windows begin: all of the text is looked at, but for its ends twice."""
+    return range(0, len(text), STEP)
+
+
+def stream_of(texts: list[str]) -> tuple[np.ndarray, list[int]]:
+    """Character numbers of all texts in blocks of STEP, each text with a block of NUL behind it; the block where each begins."""
+    parts, begins, n = [], [], 0
+    for text in texts:
+        begins.append(n)
+        size = (len(window_starts(text)) + 1) * STEP
+        for a in range(0, len(text), PIECE):
+            parts.append(codes(text[a : a + PIECE]).astype(np.uint8))
+        parts.append(np.full(size - len(text), CODE[0], np.uint8))
+        n += size // STEP
+    return np.concatenate(parts).reshape(-1, STEP), begins
+
+
+def tags_of(texts: list[str], blocks: np.ndarray, begins: list[int], tagger: Tagger, most: int) -> np.ndarray:
+    """The tag of each place in the blocks.
+
+    Each window decides on the half of it around its middle, the first on its beginning as well. The end belongs to the
+    last two: what the one before the last leaves untagged, the last decides.
+    """
+    out, edge = np.zeros((len(blocks) + 1) * STEP, np.int8), STEP // 2
+    counts = [len(window_starts(t)) for t in texts]
+    first, before_last = {b for b, n in zip(begins, counts) if n}, {b + n - 2 for b, n in zip(begins, counts) if n > 1}
+    late = []
+    for a in range(0, len(blocks) - 1, most):
+        tags = tagger.decode_blocks(blocks[a : a + most + 1])
+        out[a * STEP + edge : (a + len(tags)) * STEP + edge] = tags[:, edge : edge + STEP].ravel()
+        late += [(k, tags[k - a].copy()) for k in range(a, a + len(tags)) if k in first or k in before_last]
+    for k, own in late:
+        if k in first:
+            out[k * STEP : k * STEP + edge] = own[:edge]
+    for k, own in late:
+        if k in before_last:
+            end = out[k * STEP + edge + STEP : k * STEP + WINDOW]
+            end[:] = np.where(own[edge + STEP :], own[edge + STEP :], end)
+    for b, n, text in zip(begins, counts, texts):
+        out[b * STEP + len(text) : (b + n + 1) * STEP] = 0
+    return out[: blocks.size]
+
+
+def runs_of(tags: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Beginnings, ends and kinds of neighbouring places of one kind, from a B on, but for those that can't be spans."""
+    kind = (tags + 1) // 2
+    bounds = np.flatnonzero(np.concatenate(([True], (kind[1:] != kind[:-1]) | (tags[1:] % 2 == 1), [True])))
+    a, b = bounds[:-1], bounds[1:]
+    held = np.concatenate(([0], np.cumsum(np.isin(blocks.ravel(), CODE[[ord(c) for c in string.digits + "@"]]))))
+    kinds = kind[a] - 1
+    keep = (kinds >= 0) & (b - a >= LEAST) & ((held[b] > held[a]) | np.isin(kinds, [KINDS.index(k) for k in WRITTEN]))
+    return a[keep], b[keep], kinds[keep]
+
+
+def spans_of(text: str, runs: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans of one kind that hold what they must, ends trimmed of white space, closing marks and words before a name."""
     out = []
-    for a, b, kind in runs_of(tags):
+    for a, b, kind in runs:
         while b > a and (text[b - 1].isspace() or text[b - 1] in ".,;:!?"):
             b -= 1
         if kind == "key" and (named := WRITTEN["key"].search(text, a, b)):  # words before the credential's name are none of it
             a = next((k + 1 for k in range(named.start() - 1, a - 1, -1) if text[k].isspace()), a)
         while a < b and text[a].isspace():
             a += 1
-        if b - a >= 6 and (TRIGGER.search(text, a, b) or kind in WRITTEN and WRITTEN[kind].search(text, a, b)):
+        if b - a >= LEAST and (TRIGGER.search(text, a, b) or kind in WRITTEN and WRITTEN[kind].search(text, a, b)):
             out.append((a, b, kind))
     return out
 
 
-def _more_windows(text: str, tags: dict[int, int], run: dict) -> list[int]:
-    """Windows not yet run that cover a span, or what stands next to it, if the span holds what one of some kind must."""
-    out: set[int] = set()
-    places = [m.start() for p in (TRIGGER, *WRITTEN.values()) for m in p.finditer(text)]
-    runs = runs_of(tags)
-    begins = [a for a, _, _ in runs]
-    for k in {bisect_right(begins, p) - 1 for p in places} - {-1}:
-        a, b, _ = runs[k]
-        out.update(s for s in covering(max(0, a - 1), min(len(text), b + 1)) if s not in run)
-    return sorted(out)
-
-
-def find_all(texts: list[str], tagger: Tagger, most: int = 2048) -> list[tuple[list, list]]:
-    """(base spans, added spans) of each text."""
-    run: list[dict[int, np.ndarray]] = [{} for _ in texts]
-    joined: list[dict[int, int]] = [{} for _ in texts]
-    jobs = [(i, s) for i, t in enumerate(texts) for s in window_starts(t)]
-    while jobs:
-        for a in range(0, len(jobs), most):
-            part = [texts[i][s : s + WINDOW].ljust(WINDOW, "\0") for i, s in jobs[a : a + most]]
-            for (i, s), own in zip(jobs[a : a + most], tagger.decode(np.array([codes(w) for w in part]))):
-                run[i][s] = own
-        changed = sorted({i for i, _ in jobs})
-        for i in changed:
-            starts = sorted(run[i])
-            joined[i] = joined_tags(texts[i], starts, [run[i][s] for s in starts])
-        jobs = [(i, s) for i in changed for s in _more_windows(texts[i], joined[i], run[i])]
+def find_all(texts: list[str], tagger: Tagger, most: int = 352) -> list[tuple[list, list]]:
+    """(base spans, added spans) of each text; all windows are decoded, `most` at a time."""
+    out, a = [], 0
+    while a < len(texts):
+        b, size = a, 0
+        while b < len(texts) and (b == a or size + len(texts[b]) <= PIECE):
+            size += len(texts[b])
+            b += 1
+        out += _find_some(texts[a:b], tagger, most)
+        a = b
+    return out
+
+
+def _find_some(texts: list[str], tagger: Tagger, most: int) -> list[tuple[list, list]]:
+    blocks, begins = stream_of(texts)
+    starts, ends, kinds = runs_of(tags_of(texts, blocks, begins, tagger, most), blocks)
+    cuts = np.searchsorted(starts, np.array(begins) * STEP).tolist() + [len(starts)]
     out = []
-    for text, tags in zip(texts, joined):
+    for text, at, a, b in zip(texts, begins, cuts, cuts[1:]):
+        runs = [(s - at * STEP, e - at * STEP, KINDS[k]) for s, e, k in zip(starts[a:b].tolist(), ends[a:b].tolist(), kinds[a:b].tolist())]
         base = base_spans(text)
-        added = [s for s in spans_of(text, tags) if all(s[1] <= b[0] or s[0] >= b[1] for b in base)]
+        added = [s for s in spans_of(text, runs) if all(s[1] <= x[0] or s[0] >= x[1] for x in base)]
         out.append((base, added))
     return out
 

@@ -634,6 +634,31 @@ def test_spans_are_those_of_all_windows(monkeypatch):
     assert found == pii.find_all(texts, tagger)
 
 
+def test_all_windows_are_decoded():
+    """Texts without digits, at-signs and names of credentials reach the tagger too, each window once; results don't depend on batches."""
+    import random
+
+    source, r = pii.Labelled(31), random.Random(8)
+    plain = ["plain words only here " * 20, "", "a", "b" * 48, "c" * 97]
+    assert [list(pii.window_starts(t)) for t in plain] == [list(range(0, len(t), pii.STEP)) for t in plain]
+
+    class Watched(pii.Tagger):
+        def decode_blocks(self, blocks, apart=1):
+            seen.extend(bytes(a) + bytes(b) for a, b in zip(blocks[:-1], blocks[1:]))
+            return super().decode_blocks(blocks, apart)
+
+    seen, tagger = [], Watched(pii.trained().p)
+    pii.find_all(plain, tagger)
+    wanted = [pii.codes(t[a : a + pii.WINDOW].ljust(pii.WINDOW, "\0")).astype(np.uint8).tobytes() for t in plain for a in range(0, len(t), pii.STEP)]
+    assert not collections.Counter(wanted) - collections.Counter(seen)
+    texts = ["".join(source.window()[0].replace("\0", "") for _ in range(r.randint(0, 6)))[: r.randint(0, 400)] for _ in range(60)]
+    found = pii.find_all(texts, tagger)
+    assert found == pii.find_all(texts, tagger, 7) == [pii.find_all([t], tagger)[0] for t in texts] and sum(len(added) for _, added in found) > 10
+    x = np.array([pii.codes(source.window()[0]) for _ in range(50)])
+    emit, _ = tagger.forward(x)
+    assert np.abs(emit.transpose(1, 2, 0) - tagger.emissions(x.reshape(-1, pii.STEP), 2)).max() < 1e-3
+
+
 def test_recall_on_held_out_secrets():
     """Credentials with and without digits, written-out addresses and phone numbers, in prose of another seed."""
     import random
