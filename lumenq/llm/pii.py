@@ -3,7 +3,8 @@
 Base kinds (email, ip, card, phone) come from patterns and are always kept. The model, written and trained in numpy,
 tags characters with B and I of each kind and O; it adds spans that touch no base span: the same kinds written
 otherwise, and keys (credentials). It is trained on labelled spans which a seeded generator puts into pseudo-prose, on
-the driver, once in a process; its weights (some thousand numbers) go along with the task.
+the driver, once in a process; its weights (some thousand numbers) go along with the task. The workers run the LSTM as a
+graph of onnxruntime (in numpy where that isn't installed), the Viterbi search in numpy.
 
 A text is cut into windows of WINDOW characters at steps of half of that, and all of them are decoded. Windows overlap,
 and each decides on the characters nearest to its own middle; the tags of the whole text are joined before spans are read
@@ -30,6 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenq.llm.common import returning, text_of
+from lumenq.llm.onnx_graph import model, node
+
+try:
+    import onnxruntime
+except ImportError:
+    onnxruntime = None
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "key")
@@ -300,33 +307,17 @@ class Tagger:
         """forward() without what training needs, as (WINDOW, tags, windows). Window j is blocks apart * j and the one behind it."""
         p, (m, t) = self.p, blocks.shape
         n, span = (m - 2) // apart + 1, apart * ((m - 2) // apart) + 1
-        # sigmoid(x) is tanh(x / 2) / 2 + 1 / 2; h is kept doubled
-        half = np.where(np.arange(4 * HIDDEN) < 3 * HIDDEN, 0.5, 1.0)
-        turned = lambda w: np.ascontiguousarray(w.transpose(0, 2, 1), dtype=np.float32)
-        into, out = turned(np.concatenate((0.5 * p["u"], p["w"], p["b"]), axis=1) * half), turned(0.5 * p["o"].reshape(2, HIDDEN, -1))
-        letters = np.take(np.ascontiguousarray(p["e"].T), blocks.T, axis=1)  # (EMBED, t, m)
-        v, z = np.zeros((2, HIDDEN + EMBED + 1, n), np.float32), np.empty((2, 4 * HIDDEN, n), np.float32)
-        c, tc = np.zeros((2, HIDDEN, n), np.float32), np.empty((2, HIDDEN, n), np.float32)
-        v[:, -1] = 1.0
-        h, gates, i, f, o, g = v[:, :HIDDEN], z[:, : 3 * HIDDEN], z[:, :HIDDEN], z[:, HIDDEN : 2 * HIDDEN], z[:, 2 * HIDDEN : 3 * HIDDEN], z[:, 3 * HIDDEN :]
-        emit = np.empty((2, 2 * t, len(TAGS), n), np.float32)
-        for s in range(2 * t):
-            for d, at in ((0, s), (1, 2 * t - 1 - s)):
-                v[d, HIDDEN:-1] = letters[:, at % t, at // t : at // t + span : apart]
-            np.matmul(into, v, out=z)
-            np.tanh(z, out=z)
-            gates += 1.0
-            c *= f
-            g *= i
-            c += g
-            c *= 0.5
-            np.tanh(c, out=tc)
-            np.multiply(o, tc, out=h)
-            np.matmul(out[0], h[0], out=emit[0, s])
-            np.matmul(out[1], h[1], out=emit[1, 2 * t - 1 - s])
-        emit[0] += emit[1]
-        emit[0] += p["c"][:, None]
-        return emit[0]
+        session = network({k: v.astype(np.float32) for k, v in p.items()})
+        if session is None:
+            return self.forward(np.concatenate((blocks[:span:apart], blocks[1 : 1 + span : apart]), axis=1))[0].transpose(1, 2, 0)
+        letters = np.take(np.ascontiguousarray(p["e"].T), blocks.T, axis=1).transpose(1, 0, 2)  # (t, EMBED, m)
+        x = np.ones((2 * t, 2, EMBED + 1, n), np.float32)
+        x[:t, 0, :-1], x[t:, 0, :-1] = letters[:, :, :span:apart], letters[:, :, 1 : 1 + span : apart]
+        x[:, 1, :-1] = x[::-1, 0, :-1]
+        both = session.run(None, {"x": x, "start": np.zeros((1, 2, HIDDEN, n), np.float32)})[0]
+        emit = both[:, 0] + both[::-1, 1]
+        emit += p["c"][:, None].astype(np.float32)
+        return emit
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The best tags of each window."""
@@ -368,6 +359,47 @@ class Tagger:
         return out
 
 
+_NETWORKS: dict[bytes, object] = {}
+
+
+def network(p: dict[str, np.ndarray]):
+    """Both directions of the LSTM as a graph of onnxruntime, kept in the process; None where it isn't installed.
+
+    "x" (WINDOW, 2, EMBED + 1, windows) holds for each step and direction the letters and a one, "start" zeros, "emit"
+    (WINDOW, 2, tags, windows) what a direction adds to the emissions after each of its steps.
+    """
+    if onnxruntime is None:
+        return None
+    key = hashlib.sha256(b"".join(p[k].tobytes() for k in sorted(p))).digest()
+    if key not in _NETWORKS:
+        turned = lambda w: np.ascontiguousarray(w.transpose(0, 2, 1))[None]
+        constants = {"into": turned(np.concatenate((p["u"], p["w"], p["b"]), axis=1)), "out": turned(p["o"].reshape(2, HIDDEN, -1)), "sizes": np.full(4, HIDDEN)}
+        nodes, h, c = [node("Split", ["x"], [f"x{s}" for s in range(WINDOW)], axis=0)], "start", "start"
+        for s in range(WINDOW):
+            nodes += [
+                node("Concat", [h, f"x{s}"], [f"v{s}"], axis=2),
+                node("MatMul", ["into", f"v{s}"], [f"z{s}"]),
+                node("Split", [f"z{s}", "sizes"], [f"z{gate}{s}" for gate in "ifog"], axis=2),
+                *[node("Tanh" if gate == "g" else "Sigmoid", [f"z{gate}{s}"], [f"{gate}{s}"]) for gate in "ifog"],
+                node("Mul", [f"f{s}", c], [f"kept{s}"]),
+                node("Mul", [f"i{s}", f"g{s}"], [f"new{s}"]),
+                node("Add", [f"kept{s}", f"new{s}"], [f"c{s}"]),
+                node("Tanh", [f"c{s}"], [f"tc{s}"]),
+                node("Mul", [f"o{s}", f"tc{s}"], [f"h{s}"]),
+                node("MatMul", ["out", f"h{s}"], [f"emit{s}"]),
+            ]
+            h, c = f"h{s}", f"c{s}"
+        nodes.append(node("Concat", [f"emit{s}" for s in range(WINDOW)], ["emit"], axis=0))
+        options = onnxruntime.SessionOptions()
+        options.intra_op_num_threads = options.inter_op_num_threads = 1  # a task has one core
+        options.enable_mem_pattern = False  # it would be kept for each number of windows
+        options.log_severity_level = 3
+        graph = model(nodes, constants, {"x": (WINDOW, 2, EMBED + 1, "n"), "start": (1, 2, HIDDEN, "n")}, {"emit": (WINDOW, 2, len(TAGS), "n")})
+        _NETWORKS.clear()
+        _NETWORKS[key] = onnxruntime.InferenceSession(graph, options, providers=["CPUExecutionProvider"])
+    return _NETWORKS[key]
+
+
 def train(seed: int = 7, steps: int = 360, size: int = 40, rate: float = 0.02) -> Tagger:
     """Adam on fresh labelled windows."""
     source, tagger = Labelled(seed), Tagger.fresh(seed)
