@@ -400,6 +400,11 @@ def network(p: dict[str, np.ndarray]):
     return _NETWORKS[key]
 
 
+def forget_networks() -> None:
+    """At the end of a task: what onnxruntime holds would stay with the worker in tasks that don't need it."""
+    _NETWORKS.clear()
+
+
 def train(seed: int = 7, steps: int = 360, size: int = 40, rate: float = 0.02) -> Tagger:
     """Adam on fresh labelled windows."""
     source, tagger = Labelled(seed), Tagger.fresh(seed)
@@ -538,14 +543,17 @@ def find(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") ->
     tagger = trained()
 
     def run(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                found = find_all(part.column(1).to_pylist(), tagger)
-                counts = [[sum(s[2] == k for s in base) for base, _ in found] for k in BASE_KINDS]
-                sha = [hashlib.sha256(said(base).encode()).hexdigest() for base, _ in found]
-                every = [said(base + added) for base, added in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(sha, pa.string()), pa.array(every, pa.string())], names=[id_column, *names])
+        try:
+            for batch in batches:
+                for a in range(0, batch.num_rows, 1000):
+                    part = batch.slice(a, 1000)
+                    found = find_all(part.column(1).to_pylist(), tagger)
+                    counts = [[sum(s[2] == k for s in base) for base, _ in found] for k in BASE_KINDS]
+                    sha = [hashlib.sha256(said(base).encode()).hexdigest() for base, _ in found]
+                    every = [said(base + added) for base, added in found]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(sha, pa.string()), pa.array(every, pa.string())], names=[id_column, *names])
+        finally:
+            forget_networks()
 
     names = [*[f"n_{k}" for k in BASE_KINDS], "base_sha256", "spans"]
     schema = T.StructType([T.StructField(id_column, df.schema[id_column].dataType), *[T.StructField(n, T.LongType()) for n in names[:4]], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
@@ -568,13 +576,16 @@ def redact(df: DataFrame, text_column: str = "text") -> DataFrame:
     place = df.columns.index(text_column)
 
     def run(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                texts = part.column(place).to_pylist()
-                found = find_all([t or "" for t in texts], tagger)
-                changed = [None if t is None else masked(t, base + added) if base or added else t for t, (base, added) in zip(texts, found)]
-                columns = [pa.array(changed, pa.string()) if k == place else c for k, c in enumerate(part.columns)]
-                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+        try:
+            for batch in batches:
+                for a in range(0, batch.num_rows, 1000):
+                    part = batch.slice(a, 1000)
+                    texts = part.column(place).to_pylist()
+                    found = find_all([t or "" for t in texts], tagger)
+                    changed = [None if t is None else masked(t, base + added) if base or added else t for t, (base, added) in zip(texts, found)]
+                    columns = [pa.array(changed, pa.string()) if k == place else c for k, c in enumerate(part.columns)]
+                    yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+        finally:
+            forget_networks()
 
     return df.mapInArrow(returning(run), df.schema)
